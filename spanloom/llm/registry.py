@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count
+from . import bpe, exact_dedup, langid, quality, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [bpe.op1_bpe, token_count.op3_token_counts]
+    found = [bpe.op1_bpe, quality.op2_quality, token_count.op3_token_counts, exact_dedup.op7_exact_dedup, langid.op8_langid]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
