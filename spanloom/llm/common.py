@@ -81,3 +81,13 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]
     import pyarrow.compute  # noqa: F401  pa.compute is there once it is imported
 
     return df.mapInArrow(run, schema)
+
+
+#: Rows of keys, at most, that are sent to all executors.
+BROADCAST_KEYS = 500_000
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key (null equals null) is in keys, a staged table of one column. No text is shuffled while the keys can be sent."""
+    gone = keys.select(F.col(key).alias("_gone"))
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, quality, token_count
+from . import bpe, exact_dedup, langid, quality, simhash, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [bpe.op1_bpe, quality.op2_quality, token_count.op3_token_counts, exact_dedup.op7_exact_dedup, langid.op8_langid]
+    found = [bpe.op1_bpe, quality.op2_quality, token_count.op3_token_counts, simhash.op6_simhash, exact_dedup.op7_exact_dedup, langid.op8_langid]
     return {f.__name__: f for f in found}
 
 
