@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, quality, simhash, token_count
+from . import bpe, decontaminate, exact_dedup, langid, quality, simhash, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [bpe.op1_bpe, quality.op2_quality, token_count.op3_token_counts, simhash.op6_simhash, exact_dedup.op7_exact_dedup, langid.op8_langid]
+    found = [bpe.op1_bpe, quality.op2_quality, token_count.op3_token_counts, simhash.op6_simhash, exact_dedup.op7_exact_dedup, langid.op8_langid, decontaminate.op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op7_exact_dedup": exact_dedup.OP7_SQL, "op10_decontamination": decontaminate.OP10_SQL}
