@@ -22,9 +22,10 @@ def normalised(text: str = "text") -> Column:
 def _open_keys(df: DataFrame, text: str) -> DataFrame:
     """(size, head) of the groups that still have more than one row after the first two steps."""
     norm = normalised(text)
-    slim = common.staged(df.select(F.length(norm).alias("size"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("head")), "dedup-keys")
-    sizes = slim.groupBy("size").count().filter("count > 1").select("size")
-    return common.staged(slim.join(sizes, "size", "left_semi").groupBy("size", "head").count().filter("count > 1").select("size", "head"), "dedup-open")
+    heads = df.select(F.length(norm).alias("size"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("head")).groupBy("size", "head").agg(F.count("*").alias("n"))
+    heads = common.staged(heads, "dedup-heads")  # a hot length or a hot text is down to single rows before anything is joined on it
+    sizes = heads.groupBy("size").agg(F.sum("n").alias("n")).filter("n > 1").select("size")
+    return common.staged(heads.filter("n > 1").join(sizes, "size", "left_semi").select("size", "head"), "dedup-open")
 
 
 def _with_digest(df: DataFrame, text: str) -> DataFrame:
