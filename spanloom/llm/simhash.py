@@ -144,7 +144,9 @@ def links(points: DataFrame, words: int, radius: int, projections: int = 1, rati
     """
     ball = radius // projections
     total = points.count()
-    sample = [r[0] for r in points.select("node").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()]
+    share = min(1.0, SAMPLE / max(1, total))
+    drawn = points.select("node").filter(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < int(share * (1 << 40)))  # about SAMPLE rows leave the executors
+    sample = sorted(bytes(r[0]) for r in drawn.collect())
     table = np.array([np.frombuffer(x[: 8 * words], ">u8") for x in sample], np.uint64).reshape(-1, words)
     edges = np.linspace(0, 64 * words, projections + 1).astype(int)
     trees = []
