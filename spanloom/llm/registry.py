@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, langid, quality, sharding, simhash, token_count
+from . import bpe, decontaminate, exact_dedup, html_text, langid, quality, sharding, simhash, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [bpe.op1_bpe, quality.op2_quality, token_count.op3_token_counts, simhash.op6_simhash, exact_dedup.op7_exact_dedup, langid.op8_langid, sharding.op9_sharding, decontaminate.op10_decontamination]
+    found = [bpe.op1_bpe, quality.op2_quality, token_count.op3_token_counts, html_text.op4_html_text, simhash.op6_simhash, exact_dedup.op7_exact_dedup, html_text, langid.op8_langid, sharding.op9_sharding, decontaminate.op10_decontamination]
     return {f.__name__: f for f in found}
 
 
