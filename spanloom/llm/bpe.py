@@ -151,14 +151,20 @@ class ByteBpe:
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """df without its text, with token_ids (array of int). Null and empty texts give no tokens. Repeated rows stay; other columns go through, and
-    ValueError if one is named token_ids."""
+    """df without its text, with token_ids (array of int), n_tokens and decoded_sha256 (of the text that the ids decode to). Null and empty texts give no
+    tokens. Repeated rows stay; other columns go through, and ValueError if one is named like a result."""
 
     def make():
+        gc.disable()  # the remembered pieces hold no cycles
         bpe = ByteBpe(path)
-        return lambda texts: [[bpe.encode(t) for t in texts]]
 
-    return common.map_texts(df, text, make, "token_ids array<int>", [pa.list_(pa.int32())])
+        def work(texts: list[str]) -> list[list]:
+            ids = [bpe.encode(t) for t in texts]
+            return [ids, [len(i) for i in ids], [hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids]]
+
+        return work
+
+    return common.map_texts(df, text, make, "token_ids array<int>, n_tokens long, decoded_sha256 string", [pa.list_(pa.int32()), pa.int64(), pa.string()])
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:

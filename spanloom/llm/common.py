@@ -49,8 +49,8 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], list[list]]], fields: str, types: list[pa.DataType]) -> DataFrame:
-    """df without `column`, with the columns that the function from make() computes from lists of texts.
+def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], list[list]]], fields: str, types: list[pa.DataType], keep_text: bool = False) -> DataFrame:
+    """df without `column` (unless keep_text), with the columns that the function from make() computes from lists of texts.
 
     make() runs once in each task. Nulls come as empty texts. Other columns go through untouched; their names must differ from the new ones.
     """
@@ -58,8 +58,8 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]
     clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
     if clash:
         raise ValueError(f"column names taken: {sorted(clash)}")
-    keep = [c for c in df.columns if c != column]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != column] + [fields])
+    keep = [c for c in df.columns if keep_text or c != column]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep] + [fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -165,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([np.frombuffer(r["_grams"], np.uint32) for r in found], np.array([r["_y"] for r in found], float))
 
 
-def scored(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """df without its text, with score (0 to 1) and predicted (1 from the threshold on). Null and empty texts get the score that belongs to no
+def scored(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, keep_text: bool = False) -> DataFrame:
+    """df without its text (unless keep_text), with score (0 to 1) and predicted (1 from the threshold on). Null and empty texts get the score that belongs to no
     evidence. Repeated rows stay, other columns go through; ValueError if one is named like a result."""
     held = df.sparkSession.sparkContext.broadcast(model)  # two floats for each of BUCKETS features, whatever the input
 
@@ -179,7 +179,14 @@ def scored(df: DataFrame, model: Model, text: str = "text", threshold: float = 0
 
         return work
 
-    return common.map_texts(df, text, make, "score double, predicted int", [pa.float64(), pa.int32()])
+    return common.map_texts(df, text, make, "score double, predicted int", [pa.float64(), pa.int32()], keep_text)
+
+
+def accepted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df that the model doesn't reject, all columns. Columns named score or predicted are set aside meanwhile."""
+    own = df.select([F.col(c).alias(f"_own{i}") for i, c in enumerate(df.columns)])
+    kept = scored(own, model, f"_own{df.columns.index(text)}", keep_text=True).filter("predicted = 1")
+    return kept.select([F.col(f"_own{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
