@@ -19,6 +19,8 @@ from . import common
 
 #: Blocks, at most about, that one step of the search brings to the driver.
 BLOCKS = 1 << 16
+#: Lots that the rows of a shard in one task are dealt into to be numbered.
+SALT = 16
 
 
 @dataclass
@@ -151,12 +153,13 @@ def sharded(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
             shard = shard + (F.col("o") >= F.lit(start)).cast("int")
     for o, i in alone.items():
         shard = F.when(F.col("o") == F.lit(o), F.lit(i)).otherwise(shard)
-    placed = rows.join(groups.select("k1", "k2", "o"), ["k1", "k2"]).select("_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.spark_partition_id().alias("part"))
+    placed = rows.join(groups.select("k1", "k2", "o"), ["k1", "k2"]).select("_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.spark_partition_id().alias("part"), F.pmod(F.xxhash64("_id", "text_crc32"), F.lit(SALT)).alias("salt"))
     placed = common.staged(placed, "shard-placed")  # fixes the parts, whatever runs again
-    sizes = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1))).select("shard", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = placed.withColumn("rank", F.row_number().over(W.partitionBy("part", "shard").orderBy("_id", "text_crc32", "size")))
-    return ranked.join(before, ["part", "shard"]).select(
+    lot = ["shard", "part", "salt"]
+    sizes = placed.groupBy(*lot).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("shard").orderBy("part", "salt").rowsBetween(W.unboundedPreceding, -1))).select(*lot, F.coalesce("before", F.lit(0)).alias("before"))
+    ranked = placed.withColumn("rank", F.row_number().over(W.partitionBy(*lot).orderBy("_id", "text_crc32", "size")))
+    return ranked.join(before, lot).select(
         F.col("_id").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
