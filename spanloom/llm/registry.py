@@ -12,7 +12,7 @@ from . import bpe, decontaminate, exact_dedup, html_text, langid, quality, shard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [bpe.op1_bpe, quality.op2_quality, token_count.op3_token_counts, html_text.op4_html_text, suffix_dedup.op5_suffix_dedup, simhash.op6_simhash, exact_dedup.op7_exact_dedup, html_text, langid.op8_langid, sharding.op9_sharding, decontaminate.op10_decontamination]
+    found = [bpe.op1_bpe, quality.op2_quality, token_count.op3_token_counts, html_text.op4_html_text, suffix_dedup.op5_suffix_dedup, simhash.op6_simhash, exact_dedup.op7_exact_dedup, langid.op8_langid, sharding.op9_sharding, decontaminate.op10_decontamination]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
