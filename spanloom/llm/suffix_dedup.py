@@ -3,7 +3,8 @@
 Equal strings of `width` bytes have equal anchors (see anchors), so the suffixes of all texts fall into buckets by anchor that are searched on their own.
 Segments that are the same byte by byte are one class with a count. Anchors with several classes get a suffix array over their classes' suffixes, sorted
 within each distance to the anchor; a stack scan over its common-prefix lengths walks the interval tree, and every interval of sufficient depth whose
-suffixes differ in the byte to their left is a maximal repeat, with all its occurrences. Anchors with more classes than a task should hold are taken
+suffixes differ in the byte to their left is a maximal repeat. Each occurrence is told once, with the deepest such interval that it is in: its prefixes
+repeat there too, and telling them again for each would grow with the square of a group. Anchors with more classes than a task should hold are taken
 apart further, string by string.
 """
 
@@ -24,29 +25,29 @@ from .anchors import Cutter
 WIDTH, CLASSES, SORTED = 400, 20_000, 40_000
 
 
-def intervals(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-    """(length, first, last) of the nodes of the interval tree that are at least `least` deep and whose suffixes differ to their left.
+NONE, MIXED = -2, -1
 
-    lcp[i] is the common prefix of suffixes i and i + 1 of the sorted array; left[i] the byte before suffix i, or less than 0 for none, which differs
-    from everything. One scan with a stack of open nodes: [depth, first, left byte that all have, or -1].
-    """
-    stack: list[list[int]] = []
 
-    def same(a: int, b: int) -> int:
-        return a if a == b and a >= 0 else -1
+def intervals(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(length, first, last, diverse) of the nodes of the interval tree that are at least `least` deep, children before their parents.
 
+    lcp[i] is the common prefix of suffixes i and i + 1 of the sorted array; left[i] the byte before suffix i, or less than 0 if that is out of sight. A
+    node is diverse if the bytes in sight differ or only one is: else its suffixes repeat together one byte further to the left. One scan with a stack of
+    open nodes: [depth, first, byte that all have in common, number of bytes in sight].
+    """
+    stack: list[list[int]] = []
     for i in range(len(left)):
         depth = lcp[i] if i < len(lcp) else 0
-        first, byte = i, left[i]
+        first, byte, seen = i, (left[i] if left[i] >= 0 else NONE), int(left[i] >= 0)
         while stack and stack[-1][0] > depth:
-            length, first, whole = stack.pop()
-            byte = same(byte, whole)
-            if byte < 0:
-                yield length, first, i
+            length, first, other, n = stack.pop()
+            byte, seen = other if byte in (NONE, other) else byte if other == NONE else MIXED, seen + n
+            yield length, first, i, byte == MIXED or seen == 1
         if stack and stack[-1][0] == depth:
-            stack[-1][2] = same(stack[-1][2], byte)
+            top = stack[-1]
+            top[2], top[3] = top[2] if byte in (NONE, top[2]) else byte if top[2] == NONE else MIXED, top[3] + seen
         elif depth >= least:
-            stack.append([depth, first, byte])
+            stack.append([depth, first, byte, seen])
 
 
 def sorted_suffixes(data: np.ndarray, bucket: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,8 @@ def common_lengths(data: np.ndarray, a: np.ndarray, b: np.ndarray, end_a: np.nda
 
 
 def repeats(segments: list[tuple[int, bytes, int, int]], width: int) -> list[tuple[int, int, int, bytes]]:
-    """Maximal repeats among (bucket, bytes, suffixes, offset of the anchor): (segment, start in it, length, digest of the string) for each occurrence."""
+    """Maximal repeats among (bucket, bytes, suffixes, offset of the anchor): (segment, start in it, length, digest of the string) for each occurrence. A
+    segment's first suffix, whose left is out of sight, is told whenever it repeats."""
     out: list[tuple[int, int, int, bytes]] = []
     data = np.frombuffer(b"".join(s[1] for s in segments), np.uint8)
     sizes = np.array([len(s[1]) for s in segments])
@@ -99,18 +101,24 @@ def repeats(segments: list[tuple[int, bytes, int, int]], width: int) -> list[tup
         left = np.where(inner[pick] > 0, data[np.maximum(start - 1, 0)].astype(np.int64), -1)
         run = np.concatenate([[0], np.cumsum(~equal)])  # suffixes that share their first bytes with neighbours
         heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        low, high = np.minimum.reduceat(left, heads), np.maximum.reduceat(left, heads)
-        length = np.diff(np.concatenate([heads, [len(run)]]))
-        for r in np.flatnonzero((length > 1) & ((low < 0) | (low != high))):  # elsewhere all extend to the left by the same byte, and are found there
+        sight = left >= 0
+        low, high = np.minimum.reduceat(np.where(sight, left, 256), heads), np.maximum.reduceat(left, heads)
+        length, blind = np.diff(np.concatenate([heads, [len(run)]])), np.add.reduceat(~sight, heads)
+        # where all bytes to the left are in sight and equal, the suffixes repeat from further left, and are found there
+        for r in np.flatnonzero((length > 1) & ((blind > 0) | (low != high))):
             x = np.arange(heads[r], heads[r] + length[r])
             ends = begin[owner[pick[x]]] + sizes[owner[pick[x]]]
             tails = [data[a:b].tobytes() for a, b in zip(start[x] + width, ends, strict=True)]
             full = sorted(range(len(x)), key=tails.__getitem__)  # so far they are in order by their first bytes only
             x, ends = x[full], ends[full]
             deep = common_lengths(data, start[x[:-1]], start[x[1:]], ends[:-1], ends[1:], width)
-            for size, a, b in intervals(deep.tolist(), left[x].tolist(), width):
-                name = hashlib.blake2b(data[start[x[a]] : start[x[a]] + size].tobytes(), digest_size=16).digest()  # the same in every task
-                out += [(int(owner[pick[i]]), int(inner[pick[i]]), size, name) for i in x[a : b + 1]]
+            untold, hidden = np.ones(len(x), bool), ~sight[x]
+            for size, a, b, diverse in intervals(deep.tolist(), left[x].tolist(), width):
+                tell = untold[a : b + 1] if diverse else untold[a : b + 1] & hidden[a : b + 1]
+                if found := np.flatnonzero(tell).tolist():
+                    name = hashlib.blake2b(data[start[x[a]] : start[x[a]] + size].tobytes(), digest_size=16).digest()  # the same in every task
+                    out += [(int(owner[pick[x[a + i]]]), int(inner[pick[x[a + i]]]), size, name) for i in found]
+                    untold[a : b + 1] &= ~tell
     return out
 
 
