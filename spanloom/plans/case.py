@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import chunk, detect, gate, merge, report, tokens
+from .staging import staged
 
 
 def check_case_name(name: str) -> str:
@@ -33,7 +34,8 @@ class CasePlan:
 
     @cached_property
     def spans(self) -> DataFrame:
-        return detect.all_spans(detect.structured_spans(self.docs), detect.lexicon_spans(self.docs, self.lexicon), chunk.entity_spans(self.answers))
+        """Staged: masking and gate both read it, and it is small beside the texts."""
+        return staged(detect.all_spans(detect.structured_spans(self.docs), detect.lexicon_spans(self.docs, self.lexicon), chunk.entity_spans(self.answers)), "spans")
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -41,11 +43,11 @@ class CasePlan:
 
     @cached_property
     def values(self) -> DataFrame:
-        return tokens.valued(self.docs, self.merged)
+        return staged(tokens.valued(self.docs, self.merged), "values")
 
     @cached_property
     def mapping(self) -> DataFrame:
-        return tokens.extended_mapping(self.values, self.prior)
+        return staged(tokens.extended_mapping(self.values, self.prior), "mapping")
 
     @cached_property
     def masked(self) -> DataFrame:
@@ -65,11 +67,12 @@ class CasePlan:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return self.masked.select("case_id", "doc_id", F.col("masked_text").alias("text"))
+        """Staged: checks read the very texts that would go out."""
+        return staged(self.masked.select("case_id", "doc_id", F.col("masked_text").alias("text")), "candidates")
 
     @cached_property
     def leaks(self) -> DataFrame:
-        return gate.leaks(self.candidates, self.mapping, self.lexicon)
+        return staged(gate.leaks(self.candidates, self.mapping, self.lexicon), "leaks")
 
     @cached_property
     def clean_cases(self) -> DataFrame:
