@@ -13,6 +13,7 @@ from ..schema import CHUNK_CHARS, CHUNK_OVERLAP, SOURCES
 from .detect import LIST
 
 PARAGRAPH = "\n\n"
+FOUND = "array<struct<start:int,end:int,entity_type:string,value:string>>"
 
 
 def chunk_array(text: Column, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -93,19 +94,20 @@ def detect_chunk(text: str, client, attempts: int = 2) -> list[tuple[int, int, s
 
 
 def model_entities(docs: DataFrame, make_client: Callable[[], object], attempts: int = 2, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """(case_id, doc_id, chunk_no, offset, ok, found: array<struct<start,end,entity_type>>), one row for each chunk. make_client() runs once in each
+    """(case_id, doc_id, chunk_no, offset, ok, found: array<struct<start,end,entity_type,value>>), one row for each chunk. make_client() runs once in each
     task. A failure is a row with ok = false, never an exception or a null: task retries don't stand in for attempts. Write the result before it is used
     twice: a model may answer differently the second time."""
 
     def run(parts: Iterator) -> Iterator:
         client = make_client()
         for pdf in parts:
-            made = [detect_chunk(t, client, attempts) for t in pdf.pop("chunk")]
+            texts = pdf.pop("chunk")
+            made = [detect_chunk(t, client, attempts) for t in texts]
             pdf["ok"] = [m is not None for m in made]
-            pdf["found"] = [[{"start": a, "end": b, "entity_type": k} for a, b, k in m or []] for m in made]
+            pdf["found"] = [[{"start": a, "end": b, "entity_type": k, "value": t[a:b]} for a, b, k in m or []] for m, t in zip(made, texts, strict=True)]
             yield pdf
 
-    schema = "case_id string, doc_id long, chunk_no int, offset int, ok boolean, found array<struct<start:int,end:int,entity_type:string>>"
+    schema = f"case_id string, doc_id long, chunk_no int, offset int, ok boolean, found {FOUND}"
     return chunks(docs, max_chars, overlap).mapInPandas(run, schema)
 
 
@@ -115,11 +117,11 @@ def echo_entities(docs: DataFrame, names: DataFrame, max_chars: int = CHUNK_CHAR
     cut = chunks(docs, max_chars, overlap).withColumn("ok", ~fails if fails is not None else F.lit(True))
     each = names.select("name", "entity_type").dropDuplicates(["name"]).filter("name <> ''")
     hits = cut.join(F.broadcast(each), F.col("ok") & F.contains("chunk", F.col("name"))).select(
-        "case_id", "doc_id", "chunk_no", F.transform(literal_offsets(F.col("chunk"), F.col("name")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("entity_type").alias("entity_type"))).alias("found")
+        "case_id", "doc_id", "chunk_no", F.transform(literal_offsets(F.col("chunk"), F.col("name")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("entity_type").alias("entity_type"), F.col("name").alias("value"))).alias("found")
     )
     found = hits.groupBy("case_id", "doc_id", "chunk_no").agg(F.flatten(F.collect_list("found")).alias("found"))
     joined = cut.drop("chunk").join(found, ["case_id", "doc_id", "chunk_no"], "left")
-    return joined.withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:int,end:int,entity_type:string>>"))).select("case_id", "doc_id", "chunk_no", "offset", "ok", "found")
+    return joined.withColumn("found", F.coalesce("found", F.array().cast(FOUND))).select("case_id", "doc_id", "chunk_no", "offset", "ok", "found")
 
 
 def entity_results(answers: DataFrame) -> DataFrame:
@@ -134,4 +136,4 @@ def entity_spans(answers: DataFrame) -> DataFrame:
     good = answers.groupBy("case_id", "doc_id").agg(F.bool_and("ok").alias("_ok")).filter("_ok").select("case_id", "doc_id")
     rows = answers.join(good, ["case_id", "doc_id"], "left_semi").select("case_id", "doc_id", "chunk_no", "offset", F.posexplode("found").alias("_at", "s"))
     seq = F.lit(SOURCES["llm"] * LIST) + F.col("chunk_no").cast("long") * (1 << 20) + F.col("_at")
-    return rows.select("case_id", "doc_id", seq.cast("long").alias("seq"), (F.col("s.start") + F.col("offset")).alias("start"), (F.col("s.end") + F.col("offset")).alias("end"), "s.entity_type", F.lit("low").alias("confidence"), F.lit("llm").alias("source"))
+    return rows.select("case_id", "doc_id", seq.cast("long").alias("seq"), (F.col("s.start") + F.col("offset")).alias("start"), (F.col("s.end") + F.col("offset")).alias("end"), "s.entity_type", F.lit("low").alias("confidence"), F.lit("llm").alias("source"), "s.value")

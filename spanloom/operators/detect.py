@@ -33,12 +33,13 @@ def structured_array(text: Column, ids: Column, phones: Column) -> Column:
 
 
 def structured_spans(docs: DataFrame) -> DataFrame:
-    """documents to spans of the structured detectors (source `regex`). Narrow: no shuffle, no Python."""
+    """documents to spans of the structured detectors (source `regex`), with the value that each covers, so that no later step has to join the texts for it.
+    Narrow: no shuffle, no Python."""
     digits = F.regexp_like("text", F.lit(r"\p{Nd}{11}"))  # ids, phones and cards hold so many digits in a row; most texts don't
     empty = F.array().cast("array<struct<start:int,end:int>>")
     held = docs.select("case_id", "doc_id", "text", F.when(digits, regex_offsets(F.col("text"), PATTERNS["ID_CARD"])).otherwise(empty).alias("_ids"), F.when(digits, regex_offsets(F.col("text"), PATTERNS["PHONE"])).otherwise(empty).alias("_phones"))
-    found = held.select("case_id", "doc_id", F.posexplode(structured_array(F.col("text"), F.col("_ids"), F.col("_phones"))).alias("_at", "s"))
-    return found.select("case_id", "doc_id", F.col("_at").cast("long").alias("seq"), "s.start", "s.end", "s.entity_type", "s.confidence", F.lit("regex").alias("source"))
+    found = held.select("case_id", "doc_id", "text", F.posexplode(structured_array(F.col("text"), F.col("_ids"), F.col("_phones"))).alias("_at", "s"))
+    return found.select("case_id", "doc_id", F.col("_at").cast("long").alias("seq"), "s.start", "s.end", "s.entity_type", "s.confidence", F.lit("regex").alias("source"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
 
 
 def pattern_spans(docs: DataFrame, entity_type: str) -> DataFrame:
@@ -53,7 +54,7 @@ def lexicon_spans(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     joined = docs.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, "case_id").filter(F.contains("text", F.col("entry")))
     found = joined.select("case_id", "doc_id", "ord", "entry", F.posexplode(literal_offsets(F.col("text"), F.col("entry"))).alias("_at", "s"))
     seq = F.lit(SOURCES["lexicon"] * LIST) + F.col("ord") * (1 << 20) + F.col("_at")
-    return found.select("case_id", "doc_id", seq.cast("long").alias("seq"), "s.start", "s.end", name_type(F.col("entry")).alias("entity_type"), F.lit("high").alias("confidence"), F.lit("lexicon").alias("source"))
+    return found.select("case_id", "doc_id", seq.cast("long").alias("seq"), "s.start", "s.end", name_type(F.col("entry")).alias("entity_type"), F.lit("high").alias("confidence"), F.lit("lexicon").alias("source"), F.col("entry").alias("value"))
 
 
 def all_spans(*parts: DataFrame) -> DataFrame:

@@ -55,8 +55,7 @@ def leaks(texts: DataFrame, mapping: DataFrame, lexicon: DataFrame) -> DataFrame
     first = texts.join(kept, "case_id").filter(F.contains("text", F.col("value"))).select("case_id", "doc_id", F.lit(1).alias("check_no"), F.xxhash64("_o").alias("ord"), "value", F.concat(F.lit("「"), "value", F.lit("」的脱敏未完全生效,在最终文本中仍能找到")).alias("message"))
 
     def found(spans: DataFrame, no: int, before, after) -> DataFrame:
-        cut = spans.join(texts.select("case_id", "doc_id", "text"), ["case_id", "doc_id"]).withColumn("value", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
-        return cut.select("case_id", "doc_id", F.lit(no).alias("check_no"), F.col("seq").alias("ord"), "value", F.concat(before, F.lit("「"), "value", F.lit("」"), after).alias("message"))
+        return spans.select("case_id", "doc_id", F.lit(no).alias("check_no"), F.col("seq").alias("ord"), "value", F.concat(before, F.lit("「"), "value", F.lit("」"), after).alias("message"))
 
     second = found(structured_spans(texts), 2, F.concat(F.lit("最终文本中发现疑似残留的敏感信息("), "entity_type", F.lit("): ")), F.lit(""))
     third = found(lexicon_spans(texts, lexicon), 3, F.lit("最终文本中发现「案件人员清单」里的姓名/机构名仍未脱敏: "), F.lit(""))

@@ -1,7 +1,7 @@
 """Column layouts of the engine's tables and its fixed values.
 
-documents(case_id, doc_id, text); spans(case_id, doc_id, seq, start, end, entity_type, confidence, source), half-open code points, seq giving the order in
-which detectors report; lexicon(case_id, ord, entry); mapping(case_id, label, num, token, value); stages(doc_id, ord, name, ok, low_n).
+documents(case_id, doc_id, text); spans(case_id, doc_id, seq, start, end, entity_type, confidence, source, value), half-open code points, seq giving the order
+in which detectors report; lexicon(case_id, ord, entry); mapping(case_id, label, num, token, value); stages(doc_id, ord, name, ok, low_n).
 """
 
 from __future__ import annotations
@@ -32,5 +32,4 @@ RECALL_FLOORS = {"identity": 1.0, "standard": 0.85}
 #: White space as Python's strip() takes it, inside a character class.
 BLANK = r"\s\x1c-\x1f\x85\xa0  -     　"
 
-SPAN = "struct<start:int,end:int,entity_type:string,confidence:string>"
 SOURCES = {"regex": 0, "lexicon": 1, "llm": 2}

@@ -43,7 +43,7 @@ def test_convert_files(spark, tmp_path):
     (case / "a.txt").write_text("张三", encoding="utf-8")
     (case / "b.DOCX").write_bytes(docx(P.format("甲") + f"<w:tbl><w:tr><w:tc>{P.format('乙')}</w:tc></w:tr></w:tbl>", [("2.png", b"bad"), ("1.png", b"ok")]))
     (case / "c.pdf").write_bytes(b"%PDF")
-    (case / "d.xyz").write_bytes(b"")
+    (case / "d.xyz").write_bytes(b"x")
     (case / "e.docx").write_bytes(b"no zip")
     rows = {r.filename: r for r in files.read_case_files(spark, str(tmp_path / "in"), read_pdf, ocr).collect()}
     assert rows["a.txt"].text == "张三" and rows["a.txt"].case_id == "案"
