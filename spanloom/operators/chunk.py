@@ -115,13 +115,15 @@ def echo_entities(docs: DataFrame, names: DataFrame, max_chars: int = CHUNK_CHAR
     """As model_entities(), for a stand-in client that names each of `names` (name, entity_type; broadcast) that a chunk holds; `fails` over `chunk` says
     which chunks get no answer. DataFrame functions only."""
     cut = chunks(docs, max_chars, overlap).withColumn("ok", ~fails if fails is not None else F.lit(True))
-    each = names.select("name", "entity_type").dropDuplicates(["name"]).filter("name <> ''")
-    hits = cut.join(F.broadcast(each), F.col("ok") & F.contains("chunk", F.col("name"))).select(
-        "case_id", "doc_id", "chunk_no", F.transform(literal_offsets(F.col("chunk"), F.col("name")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("entity_type").alias("entity_type"), F.col("name").alias("value"))).alias("found")
-    )
-    found = hits.groupBy("case_id", "doc_id", "chunk_no").agg(F.flatten(F.collect_list("found")).alias("found"))
-    joined = cut.drop("chunk").join(found, ["case_id", "doc_id", "chunk_no"], "left")
-    return joined.withColumn("found", F.coalesce("found", F.array().cast(FOUND))).select("case_id", "doc_id", "chunk_no", "offset", "ok", "found")
+    each = names.filter("name <> ''").groupBy("name").agg(F.min("entity_type").alias("entity_type"))
+    listed = each.agg(F.sort_array(F.collect_list(F.struct("name", "entity_type"))).alias("_names"))  # one row, as a model holds what it knows
+    held = F.filter("_names", lambda n: F.contains("chunk", n["name"]))
+
+    def spans(n: Column) -> Column:
+        return F.transform(literal_offsets(F.col("chunk"), n["name"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), n["entity_type"].alias("entity_type"), n["name"].alias("value")))
+
+    found = F.when(F.col("ok"), F.flatten(F.transform(held, spans))).otherwise(F.array().cast(FOUND))
+    return cut.crossJoin(F.broadcast(listed)).select("case_id", "doc_id", "chunk_no", "offset", "ok", found.alias("found"))
 
 
 def entity_results(answers: DataFrame) -> DataFrame:

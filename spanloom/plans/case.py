@@ -23,8 +23,8 @@ def check_case_name(name: str) -> str:
 
 @dataclass
 class CasePlan:
-    """Lazy tables of a run over documents (case_id, doc_id, text). `answers` are those of the entity detector (see chunk.model_entities()): materialise
-    a real model's before they come here, as masking and gate both read them."""
+    """Tables of a run over documents (case_id, doc_id, text), worked out when first asked for. `answers` are those of the entity detector (see
+    chunk.model_entities())."""
 
     docs: DataFrame
     lexicon: DataFrame
@@ -32,10 +32,15 @@ class CasePlan:
     prior: DataFrame | None = None
     pages: DataFrame | None = None
 
+    @cached_property
+    def told(self) -> DataFrame:
+        """Staged: an entity detector may not answer twice alike."""
+        return staged(self.answers, "answers")
+
     @cached_property
     def spans(self) -> DataFrame:
         """Staged: masking and gate both read it, and it is small beside the texts."""
-        return staged(detect.all_spans(detect.structured_spans(self.docs), detect.lexicon_spans(self.docs, self.lexicon), chunk.entity_spans(self.answers)), "spans")
+        return staged(detect.all_spans(detect.structured_spans(self.docs), detect.lexicon_spans(self.docs, self.lexicon), chunk.entity_spans(self.told)), "spans")
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -59,7 +64,7 @@ class CasePlan:
 
     @cached_property
     def stages(self) -> DataFrame:
-        return gate.stage_table(self.docs, self.spans, chunk.entity_results(self.answers), self.duplicates, self.pages)
+        return gate.stage_table(self.docs, self.spans, chunk.entity_results(self.told), self.duplicates, self.pages)
 
     @cached_property
     def decisions(self) -> DataFrame:
