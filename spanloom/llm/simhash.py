@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-#: Fingerprints that the trees are fitted on; shard size aimed at; largest shard that stays whole.
-SAMPLE, SHARD, TILE = 50_000, 2048, 8192
+#: Fingerprints that the trees are fitted on; shard size aimed at; largest shard that stays whole: a tile of two such parts is some megabytes, and some
+#: seconds of comparing.
+SAMPLE, SHARD, TILE = 50_000, 2048, 32_768
 #: A split is made if at most this share of the sample would have to go to both sides.
 OVERLAP = 0.7
 
