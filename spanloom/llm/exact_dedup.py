@@ -59,7 +59,8 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", carry:
     names = [F.col("_id").alias(key), "keep_id", "group_size", "kept", *(carry or {})]
     alone = slim.filter("_full is null").withColumns({"keep_id": F.col("_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     won = F.col("_win").eqNullSafe(F.col("_id")) & (F.col("_win_chars") == F.col("_chars"))
-    shared = slim.filter("_full is not null").join(_winners(slim), "_full", "left").withColumns(
+    wins = common.staged(_winners(slim), "dedup-wins")
+    shared = slim.filter("_full is not null").join(F.broadcast(wins) if wins.count() <= BROADCAST_ROWS else wins, "_full", "left").withColumns(
         {"keep_id": F.when(F.col("group_size") > 1, F.col("_win")).otherwise(F.col("_id")), "kept": F.col("group_size").isNull() | won, "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
     )
     return alone.select(*names).unionByName(shared.select(*names))
