@@ -115,7 +115,7 @@ def pieces(page: str, weights: Weights | None) -> Iterator[Piece]:
             continue
         odds = stack[-1][1] if stack else weights.base if weights else 0.0
         # tags cost little within what is known to be content, or known not to be: they part regions where nothing is known
-        cost = weights.tag.get(name, -0.5) * (0.1 if odds > 0 else 1.0 if odds > -2 else 0.05) if weights else 0.0
+        cost = weights.tag.get(name, -0.5) * (0.1 if odds > 0 else 0.5 if odds > -1 else 0.05) if weights else 0.0
         yield Piece(cost, breaks=name in BLOCK, text=" " if name == "br" else "", around=((name, ""),))
         if kind == "open":
             if name in ENDS_P:
@@ -143,7 +143,7 @@ def block_pieces(page: str, weights: Weights) -> Iterator[Piece]:
             odds = sum(x.score * n for x, n in zip(held, sizes, strict=True)) / total + (weights.word.get(LINKED, 0.0) if 2 * linked > total else 0.0)
             if odds > 0:
                 text = "".join(x.text for x in held if x.score > -1 or not x.text.strip())
-                yield Piece(total * (2 / (1 + np.exp(-odds)) - 1), text)
+                yield Piece(total / (1 + np.exp(-odds)), text)
         held = []
         yield Piece(p.score, breaks=True)
 

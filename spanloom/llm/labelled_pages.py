@@ -77,11 +77,11 @@ class Writer:
             "menu": links if tag == "ul" else f"<ul>{links}</ul>",
             "header": f"<a href='/'>{self.words(1, 3)}</a><p>{self.words(2, 6)}</p>",
             "footer": f"&copy; {self.words(2, 9)} <a href='/i'>{self.words(1, 2)}</a>" + (few if pick([0, 1]) else ""),
-            "sidebar": f"<h3>{self.words(1, 3)}</h3>" + pick([f"<ul>{links}</ul>", few]),
+            "sidebar": f"<{(h := pick(['h2', 'h3', 'h4']))}>{self.words(1, 3)}</{h}>" + pick([f"<ul>{links}</ul>", few]),
             "notice": f"{few}<button>{self.words(1, 2)}</button>" if pick([0, 1]) else self.words(4, 20),
             "advert": pick([self.words(3, 14), f"<a href='//x'>{self.words(2, 10)}</a>", few]),
             "form": f"<label>{self.words(1, 3)}</label><input name=q><select><option>{self.words(1, 2)}</option></select><textarea>{self.words(1, 4)}</textarea><button>{self.words(1, 2)}</button>",
-            "comments": f"<h3>{self.words(1, 3)}</h3>" + "".join(f"<{pick(['div', 'li', 'article'])} class=comment><b>{self.words(1, 2)}</b><p>{self.words(3, 40)}</p></div>" for _ in range(self.random.randint(1, 5))),
+            "comments": f"<{(h := pick(['h2', 'h3', 'h4']))}>{self.words(1, 3)}</{h}>" + "".join(f"<{pick(['div', 'li', 'article'])} class=comment><b>{self.words(1, 2)}</b><p>{self.words(3, 40)}</p></div>" for _ in range(self.random.randint(1, 5))),
             "share": f"<span>{self.words(1, 4)}</span><a href=#>{self.words(1, 1)}</a><time>{self.words(1, 2)}</time>",
         }[kind]
         return f"<{tag}{attributes}>{inner}</{tag}>"
