@@ -22,6 +22,8 @@ from .components import components
 #: Fingerprints that the trees are fitted on; shard size aimed at; largest shard that stays whole: a tile of two such parts is some megabytes, and some
 #: seconds of comparing.
 SAMPLE, SHARD, TILE = 50_000, 2048, 32_768
+#: Rows that a search task gets, about.
+TASK = 20_000
 #: A split is made if at most this share of the sample would have to go to both sides.
 OVERLAP = 0.7
 
@@ -184,6 +186,9 @@ def links(points: DataFrame, words: int, radius: int, projections: int = 1, rati
 
     routed = common.staged(points.select("node").mapInArrow(route, "p int, band int, leaf int, home boolean, node binary"), "simhash-routed")
     sizes = routed.groupBy("p", "band", "leaf").agg(F.count("*").alias("_n"), F.count_if("home").alias("_h")).filter("_n > 1 and _h > 0").withColumn("_m", F.ceil(F.col("_n") / TILE).cast("int"))
+    # rows are few bytes and much work: a set number of partitions, as those that follow the bytes would be joined into a few
+    work = sizes.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / TASK))
     chunk = F.pmod(F.xxhash64("node"), F.col("_m")).cast("int")
     dealt = (
         routed.join(F.broadcast(sizes.drop("_n", "_h")), ["p", "band", "leaf"])  # a row for each shard that the trees have
@@ -217,7 +222,7 @@ def links(points: DataFrame, words: int, radius: int, projections: int = 1, rati
                     held_rows.extend(rows[x:y])
         yield from flush()
 
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "u binary, v binary")
+    return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(search, "u binary, v binary")
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1, radius: int = 3, projections: int = 2, ratio: float = 0.0) -> DataFrame:
