@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 #: Pieces that a worker remembers, the longest one that is remembered, and remembered pairs of tokens.
-REMEMBERED, LONGEST, PAIRS = 600_000, 48, 2_000_000
+REMEMBERED, LONGEST, PAIRS = 400_000, 48, 500_000
 #: Texts with characters from here on are cut into pieces by the library itself: what counts as a letter there depends on its Unicode version.
 NEWER = 0x558
 
