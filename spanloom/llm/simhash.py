@@ -4,6 +4,9 @@ A tree over a bounded sample of fingerprints routes every fingerprint: its leaf
 can reach by the triangle inequality. In a shard, fingerprints are compared with those that live there. The fingerprint may be cut into projections:
 two fingerprints within r bits are within r // projections bits in at least one of them, so one tree for each projection, with that smaller ball,
 still finds every pair. Shards that are too large are dealt into square tiles, so no task gets an unbounded one.
+
+For near copies by shingle similarity, fingerprints only give candidates: within each component of candidates the similarity of the shingles themselves
+decides which pairs are links.
 """
 
 from __future__ import annotations
@@ -24,15 +27,18 @@ from .components import components
 SAMPLE, SHARD, TILE = 50_000, 2048, 32_768
 #: Rows that a search task gets, about.
 TASK = 20_000
+#: Shingles, with EACH more for every text, that one part of a component of candidates has at most; a task holds two parts.
+PART, EACH = 4_000_000, 256
 #: A split is made if at most this share of the sample would have to go to both sides.
 OVERLAP = 0.7
 
 
-def fingerprint(text: str, size: int = 3, words: int = 1) -> tuple[bytes, int]:
+def fingerprint(text: str, size: int = 3, words: int = 1, counted: bool = False) -> tuple[bytes, int]:
     """The SimHash of the text's shingles, `words` times 64 bits, and the number of shingles.
 
     A-Z are lower-cased, words are what ASCII white space parts; fewer words than `size` make one shingle, none makes the zero fingerprint. A bit is set
-    if it is in over half of the shingles' hashes, repeats included.
+    if it is in over half of the shingles' hashes, repeats included. With `counted`, repeats have hashes of their own: then the angle between two
+    fingerprints follows from the counted similarity, however often a shingle comes again.
     """
     import xxhash
 
@@ -41,9 +47,12 @@ def fingerprint(text: str, size: int = 3, words: int = 1) -> tuple[bytes, int]:
         return bytes(8 * words), 0
     count = max(1, len(parts) - size + 1)
     ones = np.zeros(64 * words, np.int64)
+    seen: dict[bytes, int] = {}
     for start in range(0, count, 1 << 16):
         end = min(count, start + (1 << 16))
-        grams = [b" ".join(g) for g in zip(*(parts[start + i : end + i] for i in range(size)), strict=True)] if len(parts) >= size else [b" ".join(parts)]
+        grams = shingles(parts, size, start, end)
+        if counted:
+            grams = numbered(grams, seen)
         hashes = np.empty((len(grams), words), ">u8")
         for k in range(words):
             hashes[:, k] = np.fromiter((xxhash.xxh64_intdigest(g, 42 + k) for g in grams), np.uint64, len(grams))
@@ -51,12 +60,37 @@ def fingerprint(text: str, size: int = 3, words: int = 1) -> tuple[bytes, int]:
     return np.packbits(2 * ones > count).tobytes(), count
 
 
-def fingerprints(df: DataFrame, text: str = "text", size: int = 3, words: int = 1) -> DataFrame:
+def shingles(parts: list[bytes], size: int, start: int, end: int) -> list[bytes]:
+    return [b" ".join(g) for g in zip(*(parts[start + i : end + i] for i in range(size)), strict=True)] if len(parts) >= size else [b" ".join(parts)]
+
+
+def numbered(grams: list[bytes], seen: dict[bytes, int]) -> list[bytes]:
+    """The shingles, those that were seen before with how often (after a tab, which no shingle has): counts become members of a set."""
+    out = []
+    for g in grams:
+        k = seen.get(g, 0)
+        seen[g] = k + 1
+        out.append(b"%b\t%d" % (g, k) if k else g)
+    return out
+
+
+def counted_shingles(text: str, size: int) -> bytes:
+    """64-bit hashes of the text's counted shingles, each once."""
+    import xxhash
+
+    parts = text.encode().lower().split()
+    if not parts:
+        return b""
+    grams = numbered(shingles(parts, size, 0, max(1, len(parts) - size + 1)), {})
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64, len(grams)).tobytes()
+
+
+def fingerprints(df: DataFrame, text: str = "text", size: int = 3, words: int = 1, counted: bool = False) -> DataFrame:
     """df without its text, with fp (binary) and n_shingles. Null texts count as empty. Repeated rows stay, other columns go through; ValueError if one
     is named like a result."""
 
     def make():
-        return lambda texts: [list(x) for x in zip(*(fingerprint(t, size, words) for t in texts), strict=True)] if texts else [[], []]
+        return lambda texts: [list(x) for x in zip(*(fingerprint(t, size, words, counted) for t in texts), strict=True)] if texts else [[], []]
 
     return common.map_texts(df, text, make, "fp binary, n_shingles long", [pa.binary(), pa.int64()])
 
@@ -239,13 +273,113 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     return rows.join(named, "node").select(F.col("_id").alias(key), "fp", "n_shingles", "component_id")
 
 
-def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, words: int = 4, radius: int = 48, projections: int = 1, ratio: float = 0.8) -> DataFrame:
-    """df with one document of each component, all columns: the one with the smallest key. Rows with a null key stay unless a key stands for their
-    component; rows that share the key that stays all stay. Other edge cases as in near_groups().
+def similar_pairs(fps: np.ndarray, grams: list[np.ndarray], chunk: np.ndarray, radius: int, similar: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that are within the radius and whose shingles (counted, as sets) have the similarity; where rows come in two
+    chunks, only pairs across them are looked for."""
+    label, pairs = np.arange(len(fps)), []
+    two = len(set(chunk.tolist())) > 1
+    sizes = np.array([len(g) for g in grams])
+    _, ids = np.unique(np.concatenate(grams), return_inverse=True)
+    held = np.split(ids, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(ids), bool)
+    for i in range(1, len(fps)):
+        low, high = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+        can = (label[:i] != label[i]) & (low > 0) & (low >= similar * high)
+        if two:
+            can &= chunk[:i] != chunk[i]
+        met = np.flatnonzero(can)
+        apart = distance(fps[met], fps[i])
+        # the nearest first: most rows of one component are then passed over
+        met = met[apart <= radius][np.argsort(apart[apart <= radius], kind="stable")]
+        if not len(met):
+            continue
+        mark[held[i]] = True
+        at, step = 0, 16
+        while at < len(met):
+            part = met[at : at + step]
+            part = part[label[part] != label[i]]
+            at, step = at + step, min(4096, 4 * step)
+            if not len(part):
+                continue
+            starts = np.concatenate([[0], np.cumsum(sizes[part])[:-1]])
+            shared = np.add.reduceat(mark[np.concatenate([held[j] for j in part])], starts, dtype=np.int64)
+            for j in part[shared / (sizes[part] + sizes[i] - shared) >= similar]:
+                if label[j] != label[i]:
+                    pairs.append((int(i), int(j)))
+                    label[label == label[j]] = label[i]
+        mark[held[i]] = False
+    return pairs
+
+
+def similar_links(texts: DataFrame, size: int, words: int, radius: int, similar: float) -> DataFrame:
+    """(u, v): links between texts of one component of candidates whose counted shingles have the similarity.
+
+    texts: same (string), each once, node (as in links()), root, weight, _text. Components that are too large are dealt into square tiles.
+    """
+    parts = texts.groupBy("root").agg(F.sum("weight").alias("_w"), F.count("*").alias("_n")).filter("_n > 1").select("root", "_w", F.ceil(F.col("_w") / PART).cast("int").alias("_m"))
+    parts = common.staged(parts, "simhash-parts")
+    work = parts.agg(F.sum(F.col("_w") * F.col("_m"))).first()[0] or 0
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / PART))
+    held = common.map_texts(texts.select("same", "node", "root", "_text"), "_text", lambda: lambda ts: [[counted_shingles(t, size) for t in ts]], "grams binary", [pa.binary()])
+    dealt = (
+        held.join(F.broadcast(parts) if parts.count() <= common.BROADCAST_KEYS else parts, "root")
+        .withColumn("c", F.pmod(F.xxhash64("same"), F.col("_m")).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+        .select("root", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "c", "same", F.substring("node", 1, 8 * words).alias("fp"), "grams")
+    )
+
+    def search(batches):
+        rows: list = []
+        current = None
+
+        def flush():
+            if len(rows) > 1:
+                fps = np.frombuffer(b"".join(r[2] for r in rows), ">u8").astype(np.uint64).reshape(len(rows), words)
+                found = similar_pairs(fps, [np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[0] for r in rows]), radius, similar)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in found]), pa.array([rows[j][1] for _, j in found])], names=["u", "v"])
+            rows.clear()
+
+        for batch in batches:
+            for root, a, b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if current != (root, a, b):
+                    yield from flush()
+                    current = (root, a, b)
+                rows.append(row)
+        yield from flush()
+
+    return dealt.repartition(tasks, "root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(search, "u string, v string")
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, words: int = 4, radius: int = 80, projections: int = 1, similar: float = 0.8) -> DataFrame:
+    """One row per row of df: key and component_id, the smallest key that is reached over pairs whose counted shingles have the similarity (what both
+    have as part of what one or the other has).
 
-    The preset is for a similarity of 0.8 on five-word shingles: such texts' fingerprints of 256 bits differ in about 39 bits.
+    The preset is for a similarity of 0.8 on five-word shingles: such texts' fingerprints of 256 bits differ in 39 bits, give or take 6 (of five
+    shingles, one more than in the other text: in 48, give or take 6), unrelated ones in 128, give or take 8. Texts with the same words in the same
+    order are one; edge cases as in near_groups().
     """
-    groups = near_groups(df, key, text, size, words, radius, projections, ratio)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    same = F.md5(F.trim(F.regexp_replace(F.translate(common.text_of("_text"), letters, letters.lower()), r"[\x20\x09-\x0D]+", " ")).cast("binary"))
+    own = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).withColumn("same", same)
+    rows = common.staged(fingerprints(own, "_text", size, words, True).withColumn("node", F.concat("fp", F.unhex(F.lpad(F.hex("n_shingles"), 8, "0")))), "simhash-rows")
+    once = common.staged(rows.groupBy("same").agg(F.min("_id").alias("_first"), F.first("node").alias("node"), (F.first("n_shingles") + EACH).alias("weight")), "simhash-once")
+    roots = common.staged(components(links(once.select("node").distinct(), words, radius, projections, similar)), "simhash-roots")
+    placed = once.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("root").agg(F.count("*").alias("_n")).filter("_n > 1").select("root")
+    open_rows = common.staged(placed.join(several, "root").select("same", "node", "root", "weight"), "simhash-open")
+    small = open_rows.count() <= common.BROADCAST_KEYS // 5  # rows of some 130 bytes
+    texts = own.select("same", "_text").join(F.broadcast(open_rows) if small else open_rows, "same").dropDuplicates(["same"])
+    linked = common.staged(components(similar_links(common.staged(texts, "simhash-texts"), size, words, radius, similar)), "simhash-linked")
+    ends = once.join(linked.withColumnRenamed("node", "same").withColumnRenamed("root", "end"), "same", "left").select("same", "_first", F.coalesce("end", "same").alias("end"))
+    named = ends.join(ends.groupBy("end").agg(F.min("_first").alias("component_id")), "end").select("same", "component_id")
+    return rows.join(named, "same").select(F.col("_id").alias(key), "component_id")
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, words: int = 4, radius: int = 80, projections: int = 1, similar: float = 0.8) -> DataFrame:
+    """df with one document of each component of near_copies(), all columns: the one with the smallest key. Rows with a null key stay unless a key stands
+    for their component; rows that share the key that stays all stay."""
+    groups = near_copies(df, key, text, size, words, radius, projections, similar)
     lost = common.staged(groups.filter(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct(), "simhash-lost")
     return common.without(df, lost, key)
 

@@ -101,6 +101,34 @@ def test_near_dedup_stage(spark):
     assert simhash.deduplicated(docs(spark, [])).count() == 0
 
 
+def plain_similarity(a, b):
+    a, b = (collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (a.split(), b.split()))
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+@pytest.mark.parametrize("part", [4_000_000, 3000])
+def test_near_copies_against_shingle_similarity(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rng, rows = random.Random(11), []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([9, 60, 200, 400]))]
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 5):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(0, max(1, len(copy) // 20))):
+                copy[at] = f"v{rng.randrange(5000)}"
+            rows.append((10 * g + k, " ".join(copy)))
+    # a shingle that is there again and again: similarity 0.8 and a fingerprint far away if repeats weigh as often as they come
+    words = [f"r{i}" for i in range(204)]
+    rows += [(9000, " ".join(words)), (9001, " ".join([*words, *["z"] * 50]))]
+    sims = {(i, j): plain_similarity(rows[i][1], rows[j][1]) for i in range(len(rows)) for j in range(i) if rows[i][0] // 10 == rows[j][0] // 10}
+    assert sum(0.65 <= s < 0.8 for s in sims.values()) > 30 and sum(0.8 <= s < 0.9 for s in sims.values()) > 30
+    assert sims[len(rows) - 1, len(rows) - 2] >= 0.8
+    label = brute_components(len(rows), lambda i, j: sims.get((i, j), 0) >= 0.8)
+    left = {r.doc_id for r in simhash.deduplicated(docs(spark, rows)).collect()}
+    assert left == {rows[x][0] for x in label}
+
+
 def test_ratio_and_tiles_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     rng, rows = random.Random(8), []
