@@ -12,6 +12,8 @@ from . import common
 PREFIX = 64
 #: Largest table, in rows, that is sent to all executors; beyond it rows are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bits of the map of open groups that is sent where the groups themselves are too many: 16 MB at most.
+BITS = 1 << 27
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -22,21 +24,35 @@ def normalised(text: str = "text") -> Column:
 def _open_keys(df: DataFrame, text: str) -> DataFrame:
     """(size, head) of the groups that still have more than one row after the first two steps."""
     norm = normalised(text)
-    heads = df.select(F.length(norm).alias("size"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("head")).groupBy("size", "head").agg(F.count("*").alias("n"))
-    heads = common.staged(heads, "dedup-heads")  # a hot length or a hot text is down to single rows before anything is joined on it
-    sizes = heads.groupBy("size").agg(F.sum("n").alias("n")).filter("n > 1").select("size")
-    return common.staged(heads.filter("n > 1").join(sizes, "size", "left_semi").select("size", "head"), "dedup-open")
+    starts = df.select(F.length(norm).alias("size"), F.substring(norm, 1, PREFIX).alias("start")).groupBy("size", "start").agg(F.count("*").alias("n"))
+    starts = common.staged(starts, "dedup-starts")  # a hot text is down to one row before anything is joined on it
+    sizes = common.staged(starts.groupBy("size").agg(F.sum("n").alias("n")).filter("n > 1").select("size"), "dedup-sizes")
+    left = starts.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "size", "left_semi")
+    heads = left.groupBy("size", F.xxhash64("start").alias("head")).agg(F.sum("n").alias("n"))
+    return common.staged(heads.filter("n > 1").select("size", "head"), "dedup-open")
+
+
+def _spot(size: str, head: str) -> Column:
+    return F.pmod(F.xxhash64(size, head), F.lit(BITS))
 
 
 def _with_digest(df: DataFrame, text: str) -> DataFrame:
-    """df with _full, the digest of the whole text, where a row is in a group that is still open, else null."""
+    """df with _full, the digest of the whole text, where a row is in a group that is still open, else null.
+
+    Too many open groups to send are sent as a bitmap of their hashes: a row of a closed group may then get a digest too, which stands alone. No text is
+    shuffled."""
     norm, keys = normalised(text), _open_keys(df, text)
     keyed = df.withColumns({"_size": F.length(norm), "_head": F.xxhash64(F.substring(norm, 1, PREFIX))})
     if keys.count() <= BROADCAST_ROWS:
         marks = F.broadcast(keys.select(F.col("size").alias("_size"), F.col("head").alias("_head"), F.lit(True).alias("_open")))
         return keyed.join(marks, ["_size", "_head"], "left").withColumn("_full", F.when(F.col("_open"), F.sha2(norm, 256))).drop("_size", "_head", "_open")
-    # too many open groups to send them: no text is shuffled to tell rows of closed groups, their digest just stands alone
-    return keyed.withColumn("_full", F.sha2(norm, 256)).drop("_size", "_head")
+    spots = keys.select(_spot("size", "head").alias("spot"))
+    maps = common.staged(spots.groupBy(F.shiftright("spot", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("spot") % (1 << 15)).alias("_map")), "dedup-maps")
+    at = F.col("_spot") % (1 << 15)
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_open = F.expr("shiftright(_byte, cast(_spot % 8 as int)) & 1") == 1
+    marked = keyed.withColumn("_spot", _spot("_size", "_head")).withColumn("_part", F.shiftright("_spot", 15)).join(F.broadcast(maps), "_part", "left").withColumn("_byte", byte)
+    return marked.withColumn("_full", F.when(is_open, F.sha2(norm, 256))).drop("_size", "_head", "_spot", "_part", "_map", "_byte")
 
 
 def _winners(slim: DataFrame) -> DataFrame:

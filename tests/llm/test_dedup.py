@@ -32,6 +32,15 @@ def test_exact_dedup(spark, monkeypatch, rows):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_refinement_hashes_whole_texts_in_open_groups_only(spark, monkeypatch, rows):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", rows)
+    texts = [f"{i:05d}" + "x" * (i % 97) for i in range(500)] + ["p" * 64 + "1", "p" * 64 + "2", "same text", "same  text"]
+    done = exact_dedup._with_digest(docs(spark, enumerate(texts)), "text").collect()
+    assert sorted(r.text for r in done if r._full) == sorted(texts[500:]) and len(done) == len(texts)
+    assert all(r._full == hashlib.sha256(r.text.replace(" ", "").encode()).hexdigest() for r in done if r._full)
+
+
 def brute_components(n, linked):
     label = list(range(n))
 
