@@ -31,8 +31,8 @@ ENDS_P = BLOCK - {"body", "head", "html", "title", "option", "td", "th", "tr", "
 #: Elements within a line: what they are tells nothing, unless they are named. The feature of blocks whose words stand in links for the most part.
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 LINKED = "linked"
-#: Open elements that a worker follows in depth, and remembered kinds of tags.
-DEPTH, REMEMBERED = 256, 50_000
+#: Remembered kinds of tags.
+REMEMBERED = 50_000
 
 
 def features(tag: str, attributes: str) -> tuple[str, ...]:
@@ -108,6 +108,7 @@ class Piece:
 def pieces(page: str, weights: Weights | None) -> Iterator[Piece]:
     """The page's runs of text and its tags, with the elements around each; with weights, a run's score is its log-odds and a tag's is its cost."""
     stack: list[tuple[str, float, tuple[str, str]]] = []
+    places: dict[str, list[int]] = {}  # of each name, where it is in the stack
     links = 0
     for kind, name, attributes in tokens(page):
         if kind == "text":
@@ -119,14 +120,15 @@ def pieces(page: str, weights: Weights | None) -> Iterator[Piece]:
         yield Piece(cost, breaks=name in BLOCK, text=" " if name == "br" else "", around=((name, ""),))
         if kind == "open":
             if name in ENDS_P:
-                _close(stack, "p", {"table", "td", "th", "li", "div", "article", "section", "blockquote"})
+                _close(stack, places, "p", {"table", "td", "th", "li", "div", "article", "section", "blockquote"})
             if name == "li":
-                _close(stack, "li", {"ul", "ol", "menu"})
-            if name not in VOID and not attributes.rstrip().endswith("/") and len(stack) < DEPTH:
+                _close(stack, places, "li", {"ul", "ol", "menu"})
+            if name not in VOID and not attributes.rstrip().endswith("/"):
+                places.setdefault(name, []).append(len(stack))
                 stack.append((name, odds + weights.of(name, attributes) if weights else 0.0, (name, attributes)))
         else:
-            _close(stack, name, set())
-        links = sum(x[0] == "a" for x in stack)
+            _close(stack, places, name, set())
+        links = len(places.get("a", ()))
 
 
 def block_pieces(page: str, weights: Weights) -> Iterator[Piece]:
@@ -148,13 +150,15 @@ def block_pieces(page: str, weights: Weights) -> Iterator[Piece]:
         yield Piece(p.score, breaks=True)
 
 
-def _close(stack: list, name: str, walls: set[str]) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == name:
-            del stack[i:]
-            return
-        if stack[i][0] in walls:
-            return
+def _close(stack: list, places: dict[str, list[int]], name: str, walls: set[str]) -> None:
+    if not places.get(name):
+        return
+    at = places[name][-1]
+    if any(places.get(w) and places[w][-1] > at for w in walls):
+        return
+    for x in stack[at:]:
+        places[x[0]].pop()
+    del stack[at:]
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

@@ -107,3 +107,10 @@ def test_page_frames(spark, sf_dir, weights):
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out)[1:4] == [(1, "", 0), (2, "a b", 3), (2, "a b", 3)]
     got = html_text.op4_html_text(spark, sf_dir).toPandas()
     assert len(got) == 50 and (got.n_chars > 0).all() and not got.text.str.contains("track\\(|&copy;|<p>").any()
+
+
+@pytest.mark.parametrize("depth", [10, 255, 5000])
+def test_elements_are_followed_at_any_depth(depth):
+    weights = html_text.Weights({"n:body": 4.0, "n:menu": -8.0}, -1.0, {})
+    page = "<div>" * depth + "<div class='body'><p>The first words.</p><div class='menu'><p>Home</p></div><p>The last words.</p></div>" + "</div>" * depth + "<p>after</p>"
+    assert html_text.extract(page, weights) == "The first words.\nThe last words."
