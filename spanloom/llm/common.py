@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import released, staged
+
+__all__ = ["BROADCAST_KEYS", "map_texts", "released", "remainder", "staged", "table", "text_of", "unused", "without"]
+
 #: Characters of text that one step of a Python worker handles at a time.
 SLICE_CHARS = 2_000_000
 
@@ -18,28 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests, a single machine)."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = f"{tempfile.gettempdir()}/spanloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, gives real statistics.
-
-    The files go when the JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(key: str, by: int) -> Column:
     """crc32 of the key as text modulo by; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
@@ -49,6 +29,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], list[list]]], fields: str, types: list[pa.DataType], keep_text: bool = False) -> DataFrame:
     """df without `column` (unless keep_text), with the columns that the function from make() computes from lists of texts.
 
@@ -89,5 +79,6 @@ BROADCAST_KEYS = 500_000
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """df without the rows whose key (null equals null) is in keys, a staged table of one column. No text is shuffled while the keys can be sent."""
-    gone = keys.select(F.col(key).alias("_gone"))
-    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    (gone,) = unused(df, "_gone")
+    lost = keys.select(F.col(key).alias(gone))
+    return df.join(F.broadcast(lost) if lost.count() <= BROADCAST_KEYS else lost, F.col(key).eqNullSafe(F.col(gone)), "left_anti")

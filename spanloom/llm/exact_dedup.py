@@ -1,5 +1,9 @@
 """Exact dedup by progressive refinement: length, then a hash of the first characters, then a hash of the whole, each step only within groups that the
-step before left with more than one row. Texts are equal when they are identical without white space. DataFrame functions only."""
+step before left with more than one row. Texts are equal when they are identical without white space. DataFrame functions only.
+
+What a step leaves open is told to the next by bitmaps, so no text is shuffled and no list of groups is sent: of lengths one bit each, exact; of (length,
+hash) groups by a hash of both, where a chance agreement only costs a hash that stands alone afterwards.
+"""
 
 from __future__ import annotations
 
@@ -12,54 +16,70 @@ from . import common
 PREFIX = 64
 #: Largest table, in rows, that is sent to all executors; beyond it rows are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Bits of the map of open groups that is sent where the groups themselves are too many: 16 MB at most.
-BITS = 1 << 27
+#: Bits of the map of open groups: so many for each, at least 2**15, at most 2**30 (128 MB to each executor). Past 10**8 open groups chance agreements grow,
+#: results stay.
+BITS_EACH, MOST_BITS = 16, 1 << 30
+#: log2 of the bits in one part of a map.
+PART = 15
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def normalised(text: str = "text") -> Column:
-    return F.regexp_replace(common.text_of(text), BLANK, "")
+def normalised(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, "")
+
 
+def _bitmap(spots: DataFrame, what: str) -> DataFrame:
+    """(part, map) of the numbers in the column spot."""
+    return common.staged(spots.groupBy(F.shiftright("spot", PART).alias("part")).agg(F.bitmap_construct_agg(F.col("spot") % (1 << PART)).alias("map")), what)
 
-def _open_keys(df: DataFrame, text: str) -> DataFrame:
-    """(size, head) of the groups that still have more than one row after the first two steps."""
-    norm = normalised(text)
-    starts = df.select(F.length(norm).alias("size"), F.substring(norm, 1, PREFIX).alias("start")).groupBy("size", "start").agg(F.count("*").alias("n"))
-    starts = common.staged(starts, "dedup-starts")  # a hot text is down to one row before anything is joined on it
-    sizes = common.staged(starts.groupBy("size").agg(F.sum("n").alias("n")).filter("n > 1").select("size"), "dedup-sizes")
-    left = starts.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "size", "left_semi")
-    heads = left.groupBy("size", F.xxhash64("start").alias("head")).agg(F.sum("n").alias("n"))
-    return common.staged(heads.filter("n > 1").select("size", "head"), "dedup-open")
 
+def _marked(df: DataFrame, maps: DataFrame, spot: Column, name: str) -> DataFrame:
+    """df with a boolean column: whether the number is in the bitmap."""
+    parts = maps.select(F.col("part").alias("_part"), F.col("map").alias("_map"))
+    placed = df.withColumn("_spot", spot).join(F.broadcast(parts), F.shiftright("_spot", PART) == F.col("_part"), "left")
+    at = F.col("_spot") % (1 << PART)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
+    return placed.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_spot", "_part", "_map")
 
-def _spot(size: str, head: str) -> Column:
-    return F.pmod(F.xxhash64(size, head), F.lit(BITS))
 
+def refined(rows: DataFrame) -> DataFrame:
+    """rows (with a column text, nulls allowed, and none that begins with _) with full: the digest of the whole text where the row is in a group that is
+    open after length and prefix, else null."""
+    norm = rows.withColumn("_norm", normalised(F.col("text")))
+    lengths = norm.select(F.length("_norm").cast("long").alias("spot")).groupBy("spot").count()
+    open_lengths = _bitmap(lengths.filter("count > 1").select("spot"), "dedup-lengths")  # a bit for each length there is, so the longest text bounds it
 
-def _with_digest(df: DataFrame, text: str) -> DataFrame:
-    """df with _full, the digest of the whole text, where a row is in a group that is still open, else null.
+    def with_length(df: DataFrame) -> DataFrame:
+        return _marked(df, open_lengths, F.length("_norm").cast("long"), "_same_length")
 
-    Too many open groups to send are sent as a bitmap of their hashes: a row of a closed group may then get a digest too, which stands alone. No text is
-    shuffled."""
-    norm, keys = normalised(text), _open_keys(df, text)
-    keyed = df.withColumns({"_size": F.length(norm), "_head": F.xxhash64(F.substring(norm, 1, PREFIX))})
-    if keys.count() <= BROADCAST_ROWS:
-        marks = F.broadcast(keys.select(F.col("size").alias("_size"), F.col("head").alias("_head"), F.lit(True).alias("_open")))
-        return keyed.join(marks, ["_size", "_head"], "left").withColumn("_full", F.when(F.col("_open"), F.sha2(norm, 256))).drop("_size", "_head", "_open")
-    spots = keys.select(_spot("size", "head").alias("spot"))
-    maps = common.staged(spots.groupBy(F.shiftright("spot", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("spot") % (1 << 15)).alias("_map")), "dedup-maps")
-    at = F.col("_spot") % (1 << 15)
-    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_open = F.expr("shiftright(_byte, cast(_spot % 8 as int)) & 1") == 1
-    marked = keyed.withColumn("_spot", _spot("_size", "_head")).withColumn("_part", F.shiftright("_spot", 15)).join(F.broadcast(maps), "_part", "left").withColumn("_byte", byte)
-    return marked.withColumn("_full", F.when(is_open, F.sha2(norm, 256))).drop("_size", "_head", "_spot", "_part", "_map", "_byte")
+    head = F.xxhash64(F.substring("_norm", 1, PREFIX))
+    heads = with_length(norm.select("_norm")).filter("_same_length").groupBy(F.length("_norm").alias("size"), head.alias("head")).count().filter("count > 1")
+    heads = common.staged(heads.select("size", "head"), "dedup-heads")
+    bits = 1 << max(PART, min(MOST_BITS, BITS_EACH * max(1, heads.count()) - 1).bit_length())
+    open_heads = _bitmap(heads.select(F.pmod(F.xxhash64("size", "head"), F.lit(bits)).alias("spot")), "dedup-open")
+    spot = F.when(F.col("_same_length"), F.pmod(F.xxhash64(F.length("_norm"), head), F.lit(bits)))
+    return _marked(with_length(norm), open_heads, spot, "_open").withColumn("full", F.when(F.col("_open"), F.sha2("_norm", 256))).drop("_norm", "_same_length", "_open")
 
 
 def _winners(slim: DataFrame) -> DataFrame:
-    """For each digest with more than one row: the row that stays (most code points, then smallest id, null ids last), and how often it is there."""
-    best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"))).alias("best")
-    found = slim.filter("_full is not null").groupBy("_full", "_chars", "_id").count().groupBy("_full").agg(best, F.sum("count").alias("group_size"), F.min_by("count", F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"))).alias("_same"))
-    return found.filter("group_size > 1").select("_full", F.col("best.i").alias("_win"), (-F.col("best.c")).alias("_win_chars"), "group_size", "_same")
+    """For each digest with more than one row: win (the id that stays: most code points, then smallest id, null ids last), win_chars, group_size, and
+    same, how often that row is there."""
+    order = F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("n"), F.col("id").alias("i"))
+    found = slim.filter("full is not null").groupBy("full", "chars", "id").count().groupBy("full").agg(F.min(order).alias("best"), F.sum("count").alias("group_size"), F.min_by("count", order).alias("same"))
+    return found.filter("group_size > 1").select("full", F.col("best.i").alias("win"), (-F.col("best.c")).alias("win_chars"), "group_size", "same")
+
+
+def _sendable(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _chars() -> Column:
+    return F.length(F.coalesce(F.col("text"), F.lit(""))).alias("chars")
+
+
+def _won() -> Column:
+    return F.col("win").eqNullSafe(F.col("id")) & (F.col("win_chars") == F.col("chars"))
 
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
@@ -69,36 +89,32 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", carry:
     come last. Rows that are the same in key and text are told apart by nothing: all of them are marked kept if one is (deduplicated() leaves one).
     An empty table gives an empty result. Other columns are not looked at, so their names cannot clash.
     """
-    rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *[c.alias(n) for n, c in (carry or {}).items()])
-    slim = _with_digest(rows, "_text").withColumn("_chars", F.length(common.text_of("_text"))).drop("_text")
-    slim = common.staged(slim, "dedup-rows")
-    names = [F.col("_id").alias(key), "keep_id", "group_size", "kept", *(carry or {})]
-    alone = slim.filter("_full is null").withColumns({"keep_id": F.col("_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    won = F.col("_win").eqNullSafe(F.col("_id")) & (F.col("_win_chars") == F.col("_chars"))
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("none"), *[c.alias(n) for n, c in (carry or {}).items()]).alias("carried"))
+    slim = common.staged(refined(rows).select("id", "full", _chars(), "carried"), "dedup-rows")
+    names = [F.col("id").alias(key), "keep_id", "group_size", "kept", *(F.col(f"carried.{n}").alias(n) for n in carry or {})]
+    alone = slim.filter("full is null").withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     wins = common.staged(_winners(slim), "dedup-wins")
-    shared = slim.filter("_full is not null").join(F.broadcast(wins) if wins.count() <= BROADCAST_ROWS else wins, "_full", "left").withColumns(
-        {"keep_id": F.when(F.col("group_size") > 1, F.col("_win")).otherwise(F.col("_id")), "kept": F.col("group_size").isNull() | won, "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
+    shared = slim.filter("full is not null").join(_sendable(wins), "full", "left").withColumns(
+        {"keep_id": F.when(F.col("group_size") > 1, F.col("win")).otherwise(F.col("id")), "kept": F.col("group_size").isNull() | _won(), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
     )
     return alone.select(*names).unionByName(shared.select(*names))
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each group of equal texts, all columns. Choice and edge cases as in exact_groups(); of rows that are the same in key and
-    text, one stays."""
-    rows = _with_digest(df, text).withColumn("_chars", F.length(common.text_of(text)))
-    wins = common.staged(_winners(rows.select(F.col(key).alias("_id"), "_full", "_chars")), "dedup-wins")
-    small = wins.count() <= BROADCAST_ROWS
-    won = F.col("_win").eqNullSafe(F.col(key)) & (F.col("_win_chars") == F.col("_chars"))
-    left = rows.join(F.broadcast(wins) if small else wins, "_full", "left").filter(F.col("_win_chars").isNull() | won)
-    if wins.filter("_same > 1").isEmpty():
-        return left.select(*df.columns)
-    once = left.filter("coalesce(_same, 1) = 1").select(*df.columns)
-    return once.unionByName(left.filter("_same > 1").dropDuplicates(["_full"]).select(*df.columns))
+    """df with one row of each group of equal texts, all columns, whatever their names: rows are carried as one struct. Choice and edge cases as in
+    exact_groups(); of rows that are the same in key and text, one stays."""
+    rows = refined(df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*df.columns).alias("row")))
+    wins = common.staged(_winners(rows.select("id", "full", _chars())), "dedup-wins")
+    left = rows.withColumn("chars", _chars()).join(_sendable(wins), "full", "left").filter(F.col("win_chars").isNull() | _won())
+    if wins.filter("same > 1").isEmpty():
+        return left.select("row.*")
+    once = left.filter("coalesce(same, 1) = 1").select("row.*")
+    return once.unionByName(left.filter("same > 1").dropDuplicates(["full"]).select("row.*"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return exact_groups(docs, carry={"text_sha256": F.sha2(normalised(), 256)}).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_groups(docs, carry={"text_sha256": F.sha2(normalised(F.col("text")), 256)}).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP7_SQL = r"""

@@ -4,11 +4,13 @@ gives all languages that have it. Per-language counts, less the false positives
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -17,9 +19,12 @@ from . import common
 SLOTS, PROBES, PER_LANGUAGE, LANGUAGES = 1 << 20, 4, 1500, 64
 #: An n-gram belongs to a language if it is in this share of its sample texts, and in this part of the share that it has where it is most common.
 SHARE, PART = 0.01, 0.4
+#: Rows that are drawn for the sample, as a multiple of it.
+DRAWN = 4
 SIZES = (1, 2, 3, 4)
 REMEMBERED, LONGEST = 300_000, 48
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters (categories L*). What counts as a word character besides, like ², ½ or Ⅷ, are numbers.
+LETTERS = re.compile(r"[^\W\d_%s]+" % "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
 
 
 def word_grams(word: str) -> list[str]:
@@ -111,20 +116,21 @@ def fit(shares: list[tuple[str, list[float]]], languages: list[str], default: in
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most per_language rows of each language, those with the smallest hashes of their keys; rows with a null text, language or key are
-    left out. More than LANGUAGES languages raise ValueError. N-gram statistics are gathered by the executors."""
-    good = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).alias("_text"))
-    slim = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(lang).alias("_l"))
-    languages = sorted(r[0] for r in slim.select("_l").distinct().limit(LANGUAGES + 1).collect())
+    """Fit on at most per_language rows of each language, those with the smallest hashes of their keys; rows with a null language or key, and chosen ones
+    with a null text, are left out. More than LANGUAGES languages raise ValueError. N-gram statistics are gathered by the executors."""
+    keyed = docs.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.col(text).alias("_text")).filter("_k is not null and _l is not null")
+    counts = {r[0]: r[1] for r in keyed.groupBy("_l").count().limit(LANGUAGES + 1).collect()}
+    languages = sorted(counts)
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not languages:
         return Model([], np.zeros(SLOTS, np.uint64), 0)
-    chosen = None
-    for code in languages:
-        part = slim.filter(F.col("_l") == code).orderBy(F.xxhash64("_k"), "_k").limit(per_language)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = good.join(F.broadcast(chosen), ["_k", "_l"]).dropDuplicates(["_k", "_l"]).select("_l", "_text")
+    # hashes below a bound that leaves several times per_language rows of each language, then the smallest of those: one scan whatever the languages, and no
+    # task orders more than that
+    bound = F.create_map(*(x for code, n in counts.items() for x in (F.lit(code), F.lit(int(min(1.0, DRAWN * per_language / n) * (1 << 62))))))
+    drawn = keyed.select("_k", "_l").withColumn("_h", F.shiftrightunsigned(F.xxhash64("_k"), 2)).filter(F.col("_h") <= F.try_element_at(bound, F.col("_l")))
+    first = drawn.withColumn("_rank", F.row_number().over(W.partitionBy("_l").orderBy("_h", "_k"))).filter(F.col("_rank") <= per_language)
+    rows = keyed.filter("_text is not null").join(F.broadcast(first.select("_k", "_l")), ["_k", "_l"]).dropDuplicates(["_k", "_l"]).select("_l", "_text")
 
     def make():
         known: dict[str, list[str]] = {}

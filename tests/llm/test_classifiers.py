@@ -1,3 +1,5 @@
+import collections
+import unicodedata
 import zlib
 
 import numpy as np
@@ -67,6 +69,40 @@ def test_langid_filter_and_edge_cases(spark):
     assert langid.identified(docs.select("text"), langid.train(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
+@pytest.mark.parametrize("text", ["²", "½ ①", "Ⅷ", "١٢", "_", "\u0301", "一", "²a"])
+def test_only_letters_make_a_language(text):
+    model = langid.Model(["x"], np.zeros(langid.SLOTS, np.uint64), 0)
+    assert langid.Judge(model)(text)[0] == ("x" if any(unicodedata.category(c)[0] == "L" for c in text) else "und")
+
+
+def test_langid_against_exact_sets(spark):
+    """Brute force: sets in place of the filter, counted text by text. The filter's counts, less what it takes to be false, decide alike."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    model = langid.train(spark.createDataFrame(rows))
+    shares = {code: [r.text for r in rows if r.lang == code and r.text] for code in model.languages}
+    holders = [collections.Counter(g for t in shares[code] for g in set().union(*(langid.word_grams(w) for w in langid.LETTERS.findall(t.lower())))) for code in model.languages]
+    share = lambda i, g: holders[i][g] / max(1, len(shares[model.languages[i]]))
+    judge, agree, total = langid.Judge(model), 0, 0
+    for r in rows:
+        grams = [g for w in langid.LETTERS.findall((r.text or "").lower()) for g in langid.word_grams(w)]
+        if not grams:
+            assert judge(r.text or "") == ("und", 0.0)
+            continue
+        exact = [sum(share(i, g) >= langid.SHARE and share(i, g) >= langid.PART * max(share(j, g) for j in range(len(holders))) for g in grams) for i in range(len(holders))]
+        agree += model.languages[exact.index(max(exact))] == judge(r.text)[0]
+        total += 1
+    assert agree >= 0.995 * total
+
+
+def test_langid_with_very_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, t, la, 0, 0, 0) for i, (t, la) in enumerate([("alpha beta " * 100_000, "a"), ("gamma delta", "b")] * 3)], "doc_id long, text string, lang string, _k int, _l int, _rank int")
+    model = langid.train(docs)
+    got = langid.identified(docs, model).collect()
+    assert [r.lang_pred for r in got] == ["a", "b"] * 3 and len(got[0]) == 7
+    with pytest.raises(ValueError):
+        langid.identified(docs.withColumn("score", docs["_k"]), model)
+
+
 def test_best_region_against_all_regions():
     rng = np.random.default_rng(2)
     for _ in range(300):

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 from oracle import check
+from pyspark.sql import functions as F
 
-from spanloom.llm import components, decontaminate, exact_dedup, sharding, simhash, suffix_dedup
+from spanloom.llm import common, components, decontaminate, exact_dedup, sharding, simhash, suffix_dedup
 
 DOCS = "doc_id long, text string, k1 int, best int, n int, body int, _id int"
 
@@ -32,13 +33,34 @@ def test_exact_dedup(spark, monkeypatch, rows):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("rows", [100_000, 0])
-def test_refinement_hashes_whole_texts_in_open_groups_only(spark, monkeypatch, rows):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", rows)
-    texts = [f"{i:05d}" + "x" * (i % 97) for i in range(500)] + ["p" * 64 + "1", "p" * 64 + "2", "same text", "same  text"]
-    done = exact_dedup._with_digest(docs(spark, enumerate(texts)), "text").collect()
-    assert sorted(r.text for r in done if r._full) == sorted(texts[500:]) and len(done) == len(texts)
-    assert all(r._full == hashlib.sha256(r.text.replace(" ", "").encode()).hexdigest() for r in done if r._full)
+@pytest.mark.parametrize("most", [1 << 30, 1 << 15])
+@pytest.mark.parametrize("scale", [1, 40])
+def test_refinement_hashes_whole_texts_in_open_groups_only(spark, monkeypatch, most, scale):
+    """At any number of groups: closed by length, closed by prefix, open with different ends, open with equal texts."""
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", most)
+    alone = ["x" * (100 + i) for i in range(50)]
+    closed = [f"{i:06d}" + "y" * 64 for i in range(50 * scale)]
+    same = [f"{i:06d} " + "z" * 60 + e for i in range(20 * scale) for e in ("1", "2", "2")]
+    texts = [*alone, *closed, *same, "p" * 64 + "1", "p" * 64 + "2"]
+    done = exact_dedup.refined(docs(spark, enumerate(texts)).select(F.col("doc_id").alias("id"), "text")).collect()
+    full = collections.Counter(r.text for r in done if r.full)
+    extra = full - collections.Counter(texts[len(alone) + len(closed) :])  # chance agreements of two hashes in the bitmap
+    assert not collections.Counter(texts[len(alone) + len(closed) :]) - full and len(done) == len(texts)
+    assert extra.total() <= len(closed) / 8 and not set(extra) & set(alone)
+    assert all(r.full == hashlib.sha256(r.text.replace(" ", "").encode()).hexdigest() for r in done if r.full)
+
+
+NAMES = "group_size _size _head _open _full _chars _same _win full chars win id row keep_id kept _gone _norm _spot _part _map part map spot head size".split()
+
+
+def test_columns_with_the_names_of_working_columns(spark):
+    rows = spark.createDataFrame([(1, "a b", *range(len(NAMES))), (2, "ab", *range(len(NAMES))), (3, "c", *range(len(NAMES)))], ["doc_id", "text", *NAMES])
+    left = exact_dedup.deduplicated(rows)
+    assert left.columns == rows.columns and sorted(map(tuple, left.collect())) == [(1, "a b", *range(len(NAMES))), (3, "c", *range(len(NAMES)))]
+    got = exact_dedup.exact_groups(rows, carry={"full": F.col("text")}).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.keep_id, r.full) for r in got] == [(1, 1, "a b"), (2, 1, "ab"), (3, 3, "c")]
+    gone = common.without(rows, rows.filter("doc_id = 1").select("doc_id"), "doc_id")
+    assert gone.columns == rows.columns and gone.count() == 2
 
 
 def brute_components(n, linked):
