@@ -1,13 +1,14 @@
 """Main text of web pages as a maximum-scoring subsequence: words score positive and tags negative, and one linear scan finds the best contiguous region.
 
-A word counts by how likely words in elements like those around it are content; a tag costs by how rarely such tags stand in content. Both sets of
-weights are fitted on labelled pages. Words in elements that are more likely not content neither score nor come out, so a notice inside the article does
-not cut it in two.
+Every word counts, by how likely words in elements like those around it are content, and every tag costs, by how rarely such tags stand in content. Both
+sets of weights are fitted on labelled pages. No block is left out before the scan: it alone decides where the article begins and ends. What stands inside
+that region but is much less likely to be content than the region as a whole, such as a notice or an advert, is cut from it afterwards.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?|[^>=])*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 #: Elements whose content is no markup, without end tag, and that begin and end a block.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas"}
+RAW = {"script", "style", "noscript", "template", "iframe"}
 RAW_TEXT = {"textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -31,6 +32,11 @@ ENDS_P = BLOCK - {"body", "head", "html", "title", "option", "td", "th", "tr", "
 #: Elements within a line: what they are tells nothing, unless they are named. The feature of blocks whose words stand in links for the most part.
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 LINKED = "linked"
+#: Least score of a word; part of its cost that a tag has in what is more likely content, in between, and in what is hardly content; how much lower the log-odds
+#: of a block (of a part of a block) must be than the region's for it to be cut, where they are below 0 (-1).
+LEAST_WORD, TAG_PARTS, LOWER = 0.05, (0.1, 0.5, 0.8), 1.0
+#: Part of a page's words that counts as content if its log-odds can be raised that much.
+LIKELIEST, RAISED = 0.1, 4.0
 #: Remembered kinds of tags.
 REMEMBERED = 50_000
 
@@ -115,8 +121,7 @@ def pieces(page: str, weights: Weights | None) -> Iterator[Piece]:
             yield Piece(stack[-1][1] if stack else weights.base if weights else 0.0, html.unescape(name), linked=links > 0, around=() if weights else tuple(x[2] for x in stack))
             continue
         odds = stack[-1][1] if stack else weights.base if weights else 0.0
-        # tags cost little within what is known to be content, or known not to be: they part regions where nothing is known
-        cost = weights.tag.get(name, -0.5) * (0.1 if odds > 0 else 0.5 if odds > -1 else 0.05) if weights else 0.0
+        cost = weights.tag.get(name, -0.5) * TAG_PARTS[0 if odds > 0 else 1 if odds > -1 else 2] if weights else 0.0
         yield Piece(cost, breaks=name in BLOCK, text=" " if name == "br" else "", around=((name, ""),))
         if kind == "open":
             if name in ENDS_P:
@@ -131,23 +136,59 @@ def pieces(page: str, weights: Weights | None) -> Iterator[Piece]:
         links = len(places.get("a", ()))
 
 
-def block_pieces(page: str, weights: Weights) -> Iterator[Piece]:
-    """The page's blocks and tags. A block is content or not as a whole, by the odds of its words on average; words in a part of it that is named as
-    something else are left out of it."""
+def likeliest(counted: list[tuple[float, int]], part: float) -> float | None:
+    """The log-odds that this part of the words, the likeliest, has at least; None without words."""
+    rest, odds = part * sum(n for _, n in counted), None
+    for odds, n in sorted(((o, n) for o, n in counted if n), reverse=True):
+        if (rest := rest - n) <= 0:
+            break
+    return odds
+
+
+@dataclass
+class Block:
+    """What the scan sees: the words of a block together, or a tag between blocks. parts: runs of text with their log-odds."""
+
+    score: float
+    odds: float = 0.0
+    words: int = 0
+    parts: list[tuple[str, float]] = field(default_factory=list)
+
+
+def blocks(page: str, weights: Weights) -> list[Block]:
+    """All of the page in order: nothing is left out here.
+
+    Log-odds are relative to the page: where an article stands in an element with a misleading name, all are raised until the likeliest part of the
+    words counts as content, by RAISED at most, so that a page of menus still has none."""
+    out: list[Block] = []
     held: list[Piece] = []
-    for p in [*pieces(page, weights), Piece(0, breaks=True)]:
+    seen = list(pieces(page, weights))
+    top = likeliest([(x.score, len(x.text.split())) for x in seen if not x.around and not x.linked], LIKELIEST)
+    raised = max(0.0, min(RAISED, 1.0 - top)) if top is not None else 0.0
+    for p in [*seen, Piece(0, breaks=True)]:
+        if not p.around and not p.breaks:
+            p.score += raised
         if not p.breaks:
             held.append(p)
             continue
-        sizes = [len(x.text.split()) for x in held]
+        sizes = [0 if x.around else len(x.text.split()) for x in held]
         if total := sum(sizes):
-            linked = sum(n for x, n in zip(held, sizes, strict=True) if x.linked)
-            odds = sum(x.score * n for x, n in zip(held, sizes, strict=True)) / total + (weights.word.get(LINKED, 0.0) if 2 * linked > total else 0.0)
-            if odds > 0:
-                text = "".join(x.text for x in held if x.score > -1 or not x.text.strip())
-                yield Piece(total / (1 + np.exp(-odds)), text)
+            linked = weights.word.get(LINKED, 0.0) if 2 * sum(n for x, n in zip(held, sizes, strict=True) if x.linked) > total else 0.0
+            odds = sum(x.score * n for x, n in zip(held, sizes, strict=True)) / total + linked
+            score = sum(n * max(LEAST_WORD, 1 / (1 + math.exp(-max(-30.0, min(30.0, x.score + linked))))) if n else x.score if x.around else 0.0 for x, n in zip(held, sizes, strict=True))
+            out.append(Block(score, odds, total, [(x.text, 0.0 if x.around else x.score) for x in held]))
+        elif cost := sum(x.score for x in held if x.around):
+            out.append(Block(cost))
         held = []
-        yield Piece(p.score, breaks=True)
+        out.append(Block(p.score))
+    return out
+
+
+def cut(region: list[Block]) -> list[str]:
+    """The texts of the region's blocks, without those, and those parts, that are out of place in it."""
+    level = likeliest([(b.odds, b.words) for b in region], 0.25)
+    good = [b for b in region if b.words and (b.odds > 0 or b.odds > level - LOWER)]
+    return ["".join(t for t, odds in b.parts if odds > -1 or odds > level - LOWER or not t.strip()) for b in good]
 
 
 def _close(stack: list, places: dict[str, list[int]], name: str, walls: set[str]) -> None:
@@ -173,10 +214,11 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def extract(page: str, weights: Weights) -> str:
-    parts = list(block_pieces(page, weights))
-    start, end = best_region([p.score for p in parts])
-    return "\n".join(text for p in parts[start:end] if (text := " ".join(p.text.split())))
+def extract(page: str, weights: Weights, scan: bool = True) -> str:
+    """The main text, one block a line; without `scan`, what the cut would leave of the whole page."""
+    parts = blocks(page, weights)
+    start, end = best_region([p.score for p in parts]) if scan else (0, len(parts))
+    return "\n".join(line for text in cut(parts[start:end]) if (line := " ".join(text.split())))
 
 
 def fit(pages: list[tuple[str, str]], rounds: int = 400, ridge: float = 0.02) -> Weights:

@@ -137,6 +137,48 @@ def test_pages(weights, page, text):
     assert html_text.extract(page, weights) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p title=it's>Hello there world</p><p>More it's here</p></article>", "Hello there world\nMore it's here"),
+        ("<article><p data-x='a > b' title=a\"b>Hello there world</p><p class=\"c>d\">More words</p></article>", "Hello there world\nMore words"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold here.</p><p>A <svg><text>label</text></svg> and <object>what it shows</object> too.</p></article>", "Let x=2 hold here.\nA label and what it shows too."),
+        ("<nav><a href=/>Home</a></nav><div class='ad-hoc-networks'><h1>On such networks</h1>" + "<p>Some words of an article that go on and on.</p>" * 4 + "</div><footer>imprint</footer>", "On such networks" + "\nSome words of an article that go on and on." * 4),
+        ("<article><p>First words of it all.</p><div class='cookie-notice'><p>We use them here, and so on and on and on.</p></div><p>Last words of it all.</p></article>", "First words of it all.\nLast words of it all."),
+    ],
+)
+def test_markup_that_is_easy_to_get_wrong(weights, page, text):
+    assert html_text.extract(page, weights) == text
+
+
+def test_the_scan_decides(weights):
+    """By brute force over all regions of a page. Of the words that go, it takes most; some would not have been cut."""
+    matters = by_scan = by_cut = 0
+    for page, _ in labelled_pages(60, seed=3):
+        parts = html_text.blocks(page, weights)
+        sums = np.concatenate([[0.0], np.cumsum([b.score for b in parts])])
+        gains = sums[None, :] - sums[:, None]
+        best = np.triu(gains).max()
+        a, b = html_text.best_region([x.score for x in parts])
+        assert abs(gains[a, b] - best) < 1e-9
+        want = "\n".join(x for t in html_text.cut(parts[a:b]) if (x := " ".join(t.split())))
+        assert html_text.extract(page, weights) == want
+        matters += want != html_text.extract(page, weights, scan=False)
+        by_scan += sum(x.words for x in parts[:a] + parts[b:])
+        by_cut += sum(x.words for x in parts[a:b]) - len(want.split())
+    assert matters > 5 and by_scan > 4 * by_cut
+    assert all(b.score > 0 for page, _ in labelled_pages(5, seed=4) for b in html_text.blocks(page, weights) if b.words > 20)
+
+
+def test_page_columns_and_long_pages(spark, weights):
+    pages = spark.createDataFrame([(1, "<article>" + "<p>" + "word " * 200_000 + "</p>" * 3 + "</article>", 1), (2, "", 2)], "page_id long, html string, score int")
+    got = {r.page_id: r for r in html_text.main_text(pages, weights).collect()}
+    assert got[1].n_chars == 999_999 and got[1].score == 1 and got[2].text == ""
+    assert html_text.main_text(pages.limit(0), weights).count() == 0
+    with pytest.raises(ValueError):
+        html_text.main_text(pages.withColumn("Text", pages["html"]), weights)
+
+
 def test_page_frames(spark, sf_dir, weights):
     rows = [(1, None, "u"), (2, "<article><p>a b", None), (2, "<article><p>a b", None), (None, "<" * 5000, "x"), (3, "<div " * 3000, "x")]
     out = html_text.main_text(spark.createDataFrame(rows, "page_id long, html string, url string"), weights).collect()
