@@ -43,7 +43,10 @@ class Cutter:
         parts = [self._chunk(np.frombuffer(data, np.uint8)[at : at + CHUNK + self.width - 1], at) for at in range(0, max(0, len(data) - self.width + 1), CHUNK)]
         if not parts:
             return Segments(*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)))
-        return Segments(*map(np.concatenate, zip(*parts, strict=True)))
+        anchor, start, count, offset = map(np.concatenate, zip(*parts, strict=True))
+        # a segment that a chunk's border cuts in two is put together again
+        first = np.flatnonzero(np.concatenate([[True], np.diff(start + offset) != 0]))
+        return Segments(anchor[first], start[first], np.add.reduceat(count, first), offset[first])
 
     def _chunk(self, data: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
         n = len(data)

@@ -3,15 +3,16 @@
 Equal strings of `width` bytes have equal anchors (see anchors), so the suffixes of all texts fall into buckets by anchor that are searched on their own.
 Segments that are the same byte by byte are one class with a count. Anchors with several classes get a suffix array over their classes' suffixes, sorted
 within each distance to the anchor; a stack scan over its common-prefix lengths walks the interval tree, and every interval of sufficient depth whose
-suffixes differ in the byte to their left is a maximal repeat. Each occurrence is told once, with the deepest such interval that it is in: its prefixes
-repeat there too, and telling them again for each would grow with the square of a group. Anchors with more classes than a task should hold are taken
-apart further, string by string.
+suffixes differ in the byte to their left is a maximal repeat. All its occurrences are told, not neighbours only, and still in linear space: each suffix
+once, with its rank, and each repeat as a range of ranks (repeat_groups()). Anchors with more classes than a task should hold are taken apart string by
+string: there a group is a string of the least length with all places where it starts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,29 +26,29 @@ from .anchors import Cutter
 WIDTH, CLASSES, SORTED = 400, 20_000, 40_000
 
 
-NONE, MIXED = -2, -1
+MIXED = -1
 
 
 def intervals(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int, bool]]:
     """(length, first, last, diverse) of the nodes of the interval tree that are at least `least` deep, children before their parents.
 
-    lcp[i] is the common prefix of suffixes i and i + 1 of the sorted array; left[i] the byte before suffix i, or less than 0 if that is out of sight. A
-    node is diverse if the bytes in sight differ or only one is: else its suffixes repeat together one byte further to the left. One scan with a stack of
-    open nodes: [depth, first, byte that all have in common, number of bytes in sight].
+    lcp[i] is the common prefix of suffixes i and i + 1 of the sorted array; left[i] the byte before suffix i, or less than 0 if there is none in sight. A
+    node is diverse unless all its suffixes have the same byte in sight: else they repeat together one byte further to the left. One scan with a stack of
+    open nodes: [depth, first, byte that all have in common].
     """
     stack: list[list[int]] = []
     for i in range(len(left)):
         depth = lcp[i] if i < len(lcp) else 0
-        first, byte, seen = i, (left[i] if left[i] >= 0 else NONE), int(left[i] >= 0)
+        first, byte = i, left[i] if left[i] >= 0 else MIXED
         while stack and stack[-1][0] > depth:
-            length, first, other, n = stack.pop()
-            byte, seen = other if byte in (NONE, other) else byte if other == NONE else MIXED, seen + n
-            yield length, first, i, byte == MIXED or seen == 1
+            length, first, other = stack.pop()
+            byte = byte if byte == other else MIXED
+            yield length, first, i, byte == MIXED
         if stack and stack[-1][0] == depth:
             top = stack[-1]
-            top[2], top[3] = top[2] if byte in (NONE, top[2]) else byte if top[2] == NONE else MIXED, top[3] + seen
+            top[2] = top[2] if top[2] == byte else MIXED
         elif depth >= least:
-            stack.append([depth, first, byte, seen])
+            stack.append([depth, first, byte])
 
 
 def sorted_suffixes(data: np.ndarray, bucket: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,18 +74,25 @@ def common_lengths(data: np.ndarray, a: np.ndarray, b: np.ndarray, end_a: np.nda
     return out
 
 
-def repeats(segments: list[tuple[int, bytes, int, int]], width: int) -> list[tuple[int, int, int, bytes]]:
-    """Maximal repeats among (bucket, bytes, suffixes, offset of the anchor): (segment, start in it, length, digest of the string) for each occurrence. A
-    segment's first suffix, whose left is out of sight, is told whenever it repeats."""
-    out: list[tuple[int, int, int, bytes]] = []
+def repeats(segments: list[tuple[int, bytes, int, int, int]], width: int) -> tuple[list[tuple[int, int, bytes, int, int]], list[tuple[bytes, int, int, int, bytes]]]:
+    """Maximal repeats among (bucket, bytes, suffixes, offset of the anchor, copies), within the bounds of the segments.
+
+    Gives places: (segment, start in it, run, rank, length of the longest repeat there), and repeats: (run, first rank, last rank, length, digest of the
+    string). A run is what has its first `width` bytes in common. A segment's first suffix, whose left is out of sight, makes a repeat diverse; a segment
+    with copies repeats as a whole."""
+    places: list[tuple[int, int, bytes, int, int]] = []
+    groups: list[tuple[bytes, int, int, int, bytes]] = []
     data = np.frombuffer(b"".join(s[1] for s in segments), np.uint8)
     sizes = np.array([len(s[1]) for s in segments])
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     count, offset = np.array([s[2] for s in segments]), np.array([s[3] for s in segments])
-    groups = np.unique([s[0] for s in segments], return_inverse=True)[1]
+    buckets = np.unique([s[0] for s in segments], return_inverse=True)[1]
     owner = np.repeat(np.arange(len(segments)), count)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    bucket = groups[owner].astype(np.int64) << 32 | (offset[owner] - inner)  # distance to the anchor: equal strings have equal ones
+    twins = np.flatnonzero(np.array([s[4] for s in segments]) > 1)  # the copies of a segment stand in the array as one more suffix
+    twin = np.arange(len(owner) + len(twins)) >= len(owner)
+    owner, inner = np.concatenate([owner, twins]), np.concatenate([inner, np.zeros(len(twins), inner.dtype)])
+    bucket = buckets[owner].astype(np.int64) << 32 | (offset[owner] - inner)  # distance to the anchor: equal strings have equal ones
     ranked = np.argsort(bucket, kind="stable")
     cuts = [0]  # pieces of whole buckets
     edges = np.concatenate([np.flatnonzero(np.diff(bucket[ranked])) + 1, [len(ranked)]])
@@ -98,28 +106,28 @@ def repeats(segments: list[tuple[int, bytes, int, int]], width: int) -> list[tup
         pick, start = pick[order], start[order]
         if not equal.any():
             continue
-        left = np.where(inner[pick] > 0, data[np.maximum(start - 1, 0)].astype(np.int64), -1)
+        left = np.where(inner[pick] > 0, data[np.maximum(start - 1, 0)].astype(np.int64), -1)  # -1: out of sight
         run = np.concatenate([[0], np.cumsum(~equal)])  # suffixes that share their first bytes with neighbours
         heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        sight = left >= 0
-        low, high = np.minimum.reduceat(np.where(sight, left, 256), heads), np.maximum.reduceat(left, heads)
-        length, blind = np.diff(np.concatenate([heads, [len(run)]])), np.add.reduceat(~sight, heads)
+        low, high = np.minimum.reduceat(left, heads), np.maximum.reduceat(left, heads)
+        length = np.diff(np.concatenate([heads, [len(run)]]))
         # where all bytes to the left are in sight and equal, the suffixes repeat from further left, and are found there
-        for r in np.flatnonzero((length > 1) & ((blind > 0) | (low != high))):
+        for r in np.flatnonzero((length > 1) & ((low < 0) | (low != high))):
             x = np.arange(heads[r], heads[r] + length[r])
             ends = begin[owner[pick[x]]] + sizes[owner[pick[x]]]
             tails = [data[a:b].tobytes() for a, b in zip(start[x] + width, ends, strict=True)]
             full = sorted(range(len(x)), key=tails.__getitem__)  # so far they are in order by their first bytes only
             x, ends = x[full], ends[full]
             deep = common_lengths(data, start[x[:-1]], start[x[1:]], ends[:-1], ends[1:], width)
-            untold, hidden = np.ones(len(x), bool), ~sight[x]
+            name = hashlib.blake2b(data[start[x[0]] : start[x[0]] + width].tobytes(), digest_size=16).digest()  # the same in every task
+            cover = np.zeros(len(x), np.int64)
             for size, a, b, diverse in intervals(deep.tolist(), left[x].tolist(), width):
-                tell = untold[a : b + 1] if diverse else untold[a : b + 1] & hidden[a : b + 1]
-                if found := np.flatnonzero(tell).tolist():
-                    name = hashlib.blake2b(data[start[x[a]] : start[x[a]] + size].tobytes(), digest_size=16).digest()  # the same in every task
-                    out += [(int(owner[pick[x[a + i]]]), int(inner[pick[x[a + i]]]), size, name) for i in found]
-                    untold[a : b + 1] &= ~tell
-    return out
+                if diverse:
+                    part = cover[a : b + 1]
+                    np.copyto(part, size, where=part == 0)  # children come first, so the deepest stays
+                    groups.append((name, a, b, size, hashlib.blake2b(data[start[x[a]] : start[x[a]] + size].tobytes(), digest_size=16).digest()))
+            places += [(int(owner[pick[x[i]]]), int(inner[pick[x[i]]]), name, i, int(cover[i])) for i in np.flatnonzero((cover > 0) & ~twin[pick[x]]).tolist()]
+    return places, groups
 
 
 def _segments(df: DataFrame, width: int) -> DataFrame:
@@ -144,21 +152,24 @@ def _segments(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(run, "digest binary, anchor long, class binary, start long, count long, offset long")
 
 
+FOUND = "run binary, rank int, last int, length long, repeat binary, class binary, digest binary, start long"
+
+
 def _search(rows: DataFrame, width: int) -> DataFrame:
-    """Occurrences of maximal repeats; rows of one anchor come one after the other: (anchor, digest, start, count, offset, body)."""
+    """Places and repeats, the latter with a null digest; rows of one anchor come one after the other: (anchor, class, n, digest, start, count, offset,
+    body)."""
 
     def run(batches):
         held: list[tuple] = []
         suffixes, last = 0, None
 
         def flush():
-            found = repeats([(r[0], r[5], r[3], r[4]) for r in held], width) if len(held) > 1 else []
-            for at in range(0, len(found), 50_000):
-                part = found[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[3] for x in part], pa.binary()), pa.array([x[2] for x in part], pa.int64()), pa.array([held[x[0]][1] for x in part], pa.binary()), pa.array([held[x[0]][2] + x[1] for x in part], pa.int64())],
-                    names=["repeat", "length", "digest", "start"],
-                )
+            places, groups = repeats([(r[0], r[7], r[5], r[6], r[2]) for r in held], width) if len(held) > 1 else ([], [])
+            for at in range(0, len(places), 50_000):
+                part = places[at : at + 50_000]
+                yield batch_of([p[2] for p in part], [p[3] for p in part], None, [p[4] for p in part], None, [held[p[0]][1] for p in part], [held[p[0]][3] for p in part], [held[p[0]][4] + p[1] for p in part])
+            for at in range(0, len(groups), 50_000):
+                yield batch_of(*zip(*groups[at : at + 50_000], strict=True), None, None, None)
             held.clear()
 
         for batch in batches:
@@ -167,53 +178,98 @@ def _search(rows: DataFrame, width: int) -> DataFrame:
                     yield from flush()
                     suffixes = 0
                 held.append(row)
-                suffixes, last = suffixes + row[3], row[0]
+                suffixes, last = suffixes + row[5], row[0]
         yield from flush()
 
-    return rows.mapInArrow(run, "repeat binary, length long, digest binary, start long")
+    return rows.mapInArrow(run, FOUND)
+
+
+def batch_of(*columns) -> pa.RecordBatch:
+    """A batch of FOUND; None stands for a column of nulls."""
+    n = len(next(c for c in columns if c is not None))
+    types = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
 
 
 def _strings(rows: DataFrame, width: int) -> DataFrame:
-    """Every string of the segments on its own: (repeat, length, digest, start)."""
+    """Every string of the segments on its own: (run, class, digest, start, n)."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, digest, start, count, _, body = row
+                _, name, n, digest, start, count, _, body = row
                 names = [xxhash.xxh3_128_digest(body[q : q + width]) for q in range(count)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.full(count, width, np.int64)), pa.array([digest] * count, pa.binary()), pa.array(np.arange(start, start + count))], names=["repeat", "length", "digest", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([name] * count, pa.binary()), pa.array([digest] * count, pa.binary()), pa.array(np.arange(start, start + count)), pa.array(np.full(count, n, np.int64))], names=["run", "class", "digest", "start", "n"])
 
-    return rows.mapInArrow(run, "repeat binary, length long, digest binary, start long")
+    return rows.mapInArrow(run, "run binary, class binary, digest binary, start long, n long")
 
 
-def occurrences(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(repeat, length, digest, start) for the maximal repeats of at least `width` bytes within the bounds of segments, over (digest, body) rows.
+@dataclass
+class Repeats:
+    """Staged tables of a search. members: (class, digest, start), every segment of every text; classes: (class, n, length, digest, start) with one of their
+    segments each; places: (run, rank, length, class, digest, start) in the array, of one member of the class; groups: (run, first, last, length, repeat)."""
 
-    `repeat` stands for the string. Strings that repeat, and only those, are covered by the occurrences taken together. Rows with equal digests count as
-    copies of one text: their occurrences are given once for each.
-    """
+    members: DataFrame
+    classes: DataFrame
+    places: DataFrame
+    groups: DataFrame
+
+
+def search(texts: DataFrame, width: int = WIDTH) -> Repeats:
+    """Repeats of at least `width` bytes over (digest, body) rows. Rows with equal digests count as copies of one text, and are members once each."""
     cut = common.staged(_segments(texts, width), "segments")
     first = F.min(F.struct("digest", "start", "count", "offset")).alias("first")
     classes = common.staged(cut.groupBy("anchor", "class").agg(F.count("*").alias("n"), first), "classes")
     many = classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
-    wanted = common.staged(classes.join(many, "anchor").select("anchor", "classes", "first.*"), "wanted")
-    places = wanted.groupBy("digest").agg(F.collect_list(F.struct("anchor", "classes", "start", "count", "offset")).alias("places"))  # bounded by the text
+    wanted = common.staged(classes.join(many, "anchor").select("anchor", "class", "n", "classes", "first.*"), "wanted")
+    places = wanted.groupBy("digest").agg(F.collect_list(F.struct("anchor", "class", "n", "classes", "start", "count", "offset")).alias("places"))  # bounded by the text
     single = texts.groupBy("digest").agg(F.first("body").alias("body"))  # copies go before the shuffle
-    bodies = single.join(places, "digest").select("digest", "body", F.explode("places").alias("p")).select("p.anchor", "digest", "p.start", "p.count", "p.offset", F.substring("body", (F.col("p.start") + 1).cast("int"), (F.col("p.count") + width - 1).cast("int")).alias("body"), "p.classes")
+    bodies = single.join(places, "digest").select("digest", "body", F.explode("places").alias("p")).select("digest", "p.*", F.substring("body", (F.col("p.start") + 1).cast("int"), (F.col("p.count") + width - 1).cast("int")).alias("body"))
     bodies = common.staged(bodies, "bodies")
-    columns = ["anchor", "digest", "start", "count", "offset", "body"]
-    sorted_ = _search(bodies.filter(F.col("classes") <= CLASSES).select(*columns).repartition("anchor").sortWithinPartitions("anchor"), width)
+    columns = ["anchor", "class", "n", "digest", "start", "count", "offset", "body"]
+    found = common.staged(_search(bodies.filter(F.col("classes") <= CLASSES).select(*columns).repartition("anchor").sortWithinPartitions("anchor"), width), "found")
     # no task gets an anchor with an unbounded number of classes: there each string is a row, counted before it is shuffled
     hot = common.staged(_strings(bodies.filter(F.col("classes") > CLASSES).select(*columns), width), "hot-strings")
-    twice = hot.join(hot.groupBy("repeat").count().filter("count > 1").select("repeat"), "repeat", "left_semi")
-    again = cut.join(classes.filter("n > 1").select("anchor", "class"), ["anchor", "class"], "left_semi").select(F.col("class").alias("repeat"), (F.col("count") + width - 1).alias("length"), "digest", "start")
-    return sorted_.unionByName(twice.select("repeat", "length", "digest", "start")).unionByName(again)
+    twice = common.staged(hot.groupBy("run").agg(F.sum("n").alias("n")).filter("n > 1").select("run"), "hot-runs")
+    of_hot = hot.join(twice, "run", "left_semi").select("run", F.lit(0).alias("rank"), F.lit(width).cast("long").alias("length"), "class", "digest", "start")
+    # an anchor with one class: its segment is all that can repeat
+    alone = classes.join(many, "anchor", "left_anti").filter("n > 1")
+    whole = alone.select(F.col("class").alias("run"), F.lit(0).alias("first"), F.lit(0).alias("last"), (F.col("first.count") + width - 1).alias("length"), F.col("class").alias("repeat"))
+    columns = ["run", "first", "last", "length", "repeat"]
+    return Repeats(
+        cut.select("class", "digest", "start"),
+        classes.select("class", "n", (F.col("first.count") + width - 1).alias("length"), "first.digest", "first.start"),
+        found.filter("digest is not null").select("run", "rank", "length", "class", "digest", "start").unionByName(of_hot).unionByName(whole.join(alone.select(F.col("class").alias("run"), "first.digest", "first.start"), "run").select("run", F.lit(0).alias("rank"), "length", F.col("run").alias("class"), "digest", "start")),
+        found.filter("digest is null").select("run", F.col("rank").alias("first"), "last", "length", "repeat").unionByName(twice.select("run", F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(width).cast("long").alias("length"), F.col("run").alias("repeat"))).select(*columns).unionByName(whole),
+    )
+
+
+def occurrences(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(length, digest, start): for each place in the texts the longest repeat that starts there, of those within the bounds of segments. Strings that
+    repeat, and only those, are covered by them taken together."""
+    found = search(texts, width)
+    copies = found.members.join(found.classes.filter("n > 1").select("class", "length"), "class").select("length", "digest", "start")
+    return found.places.select("length", "digest", "start").unionByName(copies)
+
+
+def repeat_groups(texts: DataFrame, width: int = WIDTH, expand: bool = False) -> DataFrame:
+    """The maximal repeats over (digest, body) rows: (repeat, length, run, first, last), and with `expand` a row for every occurrence instead: (repeat,
+    length, digest, start). The first form is linear in the input, as search() gives the places of a run once; the second can grow with the square of a
+    group, since a repeat's prefixes can be repeats with more occurrences."""
+    found = search(texts, width)
+    if not expand:
+        return found.groups
+    here = found.groups.join(found.places.select("run", "rank", F.col("start").alias("_at"), F.col("digest").alias("_in"), "class"), "run").filter("rank between first and last")
+    # a place stands for all members of its class, at the same distance from where each begins
+    shift = found.classes.select("class", F.col("start").alias("_from"))
+    members = found.members.withColumnsRenamed({"digest": "_digest", "start": "_start"})
+    return here.join(shift, "class").join(members, "class").select("repeat", "length", F.col("_digest").alias("digest"), (F.col("_start") + F.col("_at") - F.col("_from")).alias("start"))
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, keep_text: bool = True) -> DataFrame:
-    """One row per row of df: key, n_bytes, n_removed, n_spans, kept_sha256 and (with keep_text) kept, the bytes that are left.
+    """One row per row of df: key, n_bytes, n_removed, n_spans, kept_sha256, n_kept and (with keep_text) kept, the bytes that are left.
 
     A byte goes if a string of `width` bytes that covers it starts anywhere else too, in the same text or another row's; texts are UTF-8, null ones
     empty. Rows with equal texts of at least `width` bytes lose everything. Repeated rows count as documents of their own. An empty table gives an empty
@@ -246,8 +302,8 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", widt
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     done = common.staged(once.select("digest", "body", "copies", "spans").mapInArrow(run, "digest binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "kept")
-    out = rows.select("_id", "digest").join(done, "digest").withColumnRenamed("_id", key).drop("digest")
-    return out if keep_text else out.drop("kept")
+    columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), *(["kept"] if keep_text else [])]
+    return rows.select("_id", "digest").join(done, "digest").select(F.col("_id").alias(key), *columns)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
