@@ -1,8 +1,13 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, a multi-index of fingerprint blocks that finds every item within a Hamming
 radius, and the exact similarity of weighted (counted) word shingles as the last word. DataFrame functions only.
 
-Windows that cannot reach the similarity are left out beforehand by an exact bound: a window and an item whose shared counts make up the part s of all
-must share at least s / (1 + s) of their shingles taken together, so only windows with so many shingles of the item's are looked at.
+A fingerprint has 256 bits in 16 blocks of 16. Two that differ in at most 63 bits differ in at most 3 within one block, so each item stands in the index
+under all values that are within 3 bits of its blocks (697 each), and a window is looked up by its 16 values alone. Of unrelated fingerprints one in
+six meets so; hardly any is within the radius, as they differ in 128 bits, give or take 8.
+
+Windows that cannot reach the similarity are left out before they are fingerprinted, by an exact bound: a window and an item whose shared counts make up
+the part s of all must share at least s / (1 + s) of their shingles taken together, so only windows with so many shingles of some item's are made. Which
+items a window is then held against is for the index to say.
 """
 
 from __future__ import annotations
@@ -14,9 +19,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of a shingle; least similarity; Hamming radius (one block more than that in the index): at the least similarity fingerprints differ in 10 bits
-#: give or take 3.
-SHINGLE, SIMILAR, RADIUS = 5, 0.8, 23
+#: Words of a shingle; least similarity; words of 64 bits in a fingerprint; bits of a block of the index and in how many it may differ. The radius follows:
+#: one less than (NEAR + 1) times the blocks. At the least similarity fingerprints differ in 39 bits give or take 6.
+SHINGLE, SIMILAR, WORDS, BLOCK, NEAR = 5, 0.8, 4, 16, 3
+BLOCKS = 64 * WORDS // BLOCK
+RADIUS = (NEAR + 1) * BLOCKS - 1
 #: Rows, at most, of an index over the benchmark that is sent to all executors.
 BROADCAST_ROWS = 1_000_000
 KEY = ("k1", "k2")
@@ -40,22 +47,41 @@ def shingled(df: DataFrame, text: str, n: int) -> DataFrame:
 
 
 def simhash(df: DataFrame, by: list[str]) -> DataFrame:
-    """df (by and a gram a row) to one row for each `by`, with fp: the bits that are set in over half of its grams. Two counters share a sum."""
-    pair = 0x0000000100000001
-    sums = [F.sum(F.shiftrightunsigned("gram", b).bitwiseAND(F.lit(pair))).alias(f"_s{b}") for b in range(32)]
-    counted = df.groupBy(*by).agg(F.count("*").alias("_n"), *sums)
-
-    def bit(b: int) -> Column:
-        count = F.col(f"_s{b % 32}").bitwiseAND(F.lit(0xFFFFFFFF)) if b < 32 else F.shiftrightunsigned(f"_s{b % 32}", 32)
-        return F.shiftleft((2 * count > F.col("_n")).cast("long"), b)
-
-    return counted.select(*by, reduce(lambda a, b: a.bitwiseOR(b), [bit(b) for b in range(64)]).alias("fp"))
-
-
-def blocks(radius: int) -> Column:
-    """(number, value) of radius + 1 blocks of fp: fingerprints within the radius agree in one at least."""
-    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)))))
+    """df (by and a gram a row) to one row for each `by`, with fp0, fp1 and so on: the bits that are set in over half of its grams. Two counters share a
+    sum."""
+    pair, low = 0x0000000100000001, 0xFFFFFFFF
+    hashed = df.select(*by, *(F.expr(f"xxhash64({k}, gram) as _g{k}") for k in range(WORDS)))
+    # as texts: thousands of calls into the JVM less
+    sums = [F.expr(f"sum(shiftrightunsigned(_g{k}, {b}) & {pair}L) as _s{k}_{b}") for k in range(WORDS) for b in range(32)]
+    bits = [[f"shiftleft(cast(2 * ({f'_s{k}_{b} & {low}L' if b < 32 else f'shiftrightunsigned(_s{k}_{b - 32}, 32)'}) > _n as bigint), {b})" for b in range(64)] for k in range(WORDS)]
+    return hashed.groupBy(*by).agg(F.count("*").alias("_n"), *sums).select(*by, *(F.expr(f"{' | '.join(x)} as fp{k}") for k, x in enumerate(bits)))
+
+
+def block_values(masks: list[int]) -> Column:
+    """(block, value) for each block of the fingerprint and each mask over it, to be exploded."""
+    each = [F.shiftrightunsigned(f"fp{k}", at).bitwiseAND(F.lit((1 << BLOCK) - 1)).cast("int") for k in range(WORDS) for at in range(0, 64, BLOCK)]
+    held = F.array(*(F.struct(F.lit(i).alias("block"), v.alias("value")) for i, v in enumerate(each)))
+    if masks == [0]:
+        return held
+    return F.flatten(F.transform(held, lambda h: F.transform(F.expr(f"array({', '.join(map(str, masks))})"), lambda m: F.struct(h["block"].alias("block"), h["value"].bitwiseXOR(m).alias("value")))))
+
+
+def apart() -> Column:
+    """Bits in which fp0... and other0... differ."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(f"fp{k}").bitwiseXOR(F.col(f"other{k}"))) for k in range(WORDS)])
+
+
+def candidates(prints: DataFrame, of_items: DataFrame, window: list[str], what: str = "") -> DataFrame:
+    """(window, item) for all windows (with m and fp0...) and items (item, m, fp0...) of one m whose fingerprints are within the radius: found by the
+    index, then held to the radius."""
+    masks = [x for x in range(1 << BLOCK) if x.bit_count() <= NEAR]
+    code = F.xxhash64("item")  # items with one code are both candidates
+    index = of_items.select("m", code.alias("code"), F.explode(block_values(masks)).alias("b")).select("m", "code", "b.block", "b.value")
+    index = sendable(common.staged(index, f"index{what}"))
+    met = prints.select(*window, *(f"fp{k}" for k in range(WORDS)), F.explode(block_values([0])).alias("b")).select(*window, *(f"fp{k}" for k in range(WORDS)), "b.block", "b.value")
+    near = met.join(index, ["m", "block", "value"]).drop("block", "value").distinct()
+    others = of_items.select(code.alias("code"), "item", *(F.col(f"fp{k}").alias(f"other{k}") for k in range(WORDS)))
+    return near.join(sendable(others), "code").filter(apart() <= RADIUS).select(*window, "item")
 
 
 def sendable(df: DataFrame) -> DataFrame:
@@ -71,7 +97,7 @@ def item_table(items: DataFrame, text: str, n: int, least: int) -> DataFrame:
     return once.select("item", F.size("grams").alias("m"), F.explode_outer("grams").alias("gram")).groupBy("item", "m", "gram").count()
 
 
-def matches(docs: DataFrame, items: DataFrame, n: int, text: str, similar: float, radius: int) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, n: int, text: str, similar: float) -> DataFrame:
     """(k1, k2, item, similarity, start_word, n_windows) for shingles of n words."""
     table = common.staged(item_table(items, text, n, n), f"items-{n}")
     if table.isEmpty():
@@ -94,19 +120,16 @@ def matches(docs: DataFrame, items: DataFrame, n: int, text: str, similar: float
     texts = own.join(sendable(wanted), list(KEY), "left_semi").groupBy(*KEY).agg(F.first("_text").alias("_text"))
     grams = common.staged(shingled(texts, "_text", n).select(*KEY, "grams"), f"grams-{n}").join(windows, list(KEY)).select(*KEY, "m", "size", "start", F.explode(F.slice("grams", F.col("start") + 1, F.col("size"))).alias("gram"))
     window = [*KEY, "m", "size", "start"]
-    prints = simhash(grams, window)
     of_items = common.staged(simhash(table.select("item", "m", F.explode(F.array_repeat("gram", F.col("count").cast("int"))).alias("gram")), ["item", "m"]), f"prints-{n}")
-    index = sendable(common.staged(of_items.select("item", "m", F.col("fp").alias("other"), blocks(radius).alias("b")).select("item", "m", "other", "b.block", "b.value"), f"index-{n}"))
-    near = prints.select(*window, "fp", blocks(radius).alias("b")).select(*window, "fp", "b.block", "b.value").join(index, ["m", "block", "value"])
-    candidates = near.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius).select(*window, "item").distinct()
+    found = candidates(common.staged(simhash(grams, window), f"window-prints-{n}"), of_items, window, f"-{n}")
     counted = grams.groupBy(*window, "gram").agg(F.count("*").alias("here"))
-    shared = counted.join(candidates, window).join(sendable(table.select("item", "gram", "count")), ["item", "gram"]).groupBy(*window, "item").agg(F.sum(F.least("here", "count")).alias("x"))
+    shared = counted.join(found, window).join(sendable(table.select("item", "gram", "count")), ["item", "gram"]).groupBy(*window, "item").agg(F.sum(F.least("here", "count")).alias("x"))
     verified = shared.withColumn("similarity", F.col("x") / (F.col("m") + F.col("size") - F.col("x"))).filter(F.col("similarity") >= similar)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
     return verified.groupBy(*KEY, "item").agg(best.alias("b"), F.count("*").alias("n_windows")).select(*KEY, "item", "b.similarity", (-F.col("b.s")).cast("long").alias("start_word"), "n_windows")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """One row for each pair of a row of docs and an item that a window of the document is similar to: key, item_key, similarity of the best window
     (the first such), start_word of it, and n_windows, the number of windows that are similar enough.
 
@@ -117,7 +140,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     items = items.select(F.col(item_key).alias("item_key"), F.col(text).alias("text"))
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text"))
     sizes = {r[0] for r in items.select(F.least(F.size(words_of("text")), F.lit(SHINGLE))).distinct().collect()}  # six at most
-    found = common.staged(reduce(DataFrame.unionByName, [matches(rows, items, n, "text", similar, radius) for n in sorted(sizes - {0}) or [SHINGLE]]), "contaminated")
+    found = common.staged(reduce(DataFrame.unionByName, [matches(rows, items, n, "text", similar) for n in sorted(sizes - {0}) or [SHINGLE]]), "contaminated")
     named = items.select("item_key", F.md5(F.array_join(words_of("text"), " ").cast("binary")).alias("item"))
     pairs = found.join(sendable(common.staged(named, "names")), "item")
     keyed = rows.select("_id", *text_key("text"))
@@ -142,6 +165,10 @@ bs as (select item_id, g, count(*) as c, any_value(m) as m from (select item_id,
 starts as (select distinct doc_id, item_id, m, total, least(m, total) as size, unnest(range(greatest(0, pos - least(m, total) + 1), least(pos, total - least(m, total)) + 1)) as s from ds join bs using (g)),
 windows as (select doc_id, item_id, m, size, s, g, count(*) as here from starts join ds using (doc_id) where pos between s and s + size - 1 group by all),
 sim as (select doc_id, item_id, s, any_value(m) as m, any_value(size) as size, sum(least(here, c)) as x from windows join (select item_id, g, c from bs) using (item_id, g) group by 1, 2, 3),
-ok as (select *, cast(x as double) / (m + size - x) as similarity from sim where cast(x as double) / (m + size - x) >= 0.8)
+ok as (select *, cast(x as double) / (m + size - x) as similarity from sim where cast(x as double) / (m + size - x) >= 0.8),
+k as (select item_id, len(w) as n, array_to_string(w, ' ') as g from b where len(w) between 1 and 4),
+shorts as (select doc_id, n, i - 1 as s, array_to_string(w[i:i + n - 1], ' ') as g from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as i from d cross join (select distinct n from k) where len(w) >= n))
 select doc_id, item_id, max(similarity) as similarity, cast(arg_min(s, struct_pack(a := -similarity, b := s)) as bigint) as start_word, count(*) as n_windows from ok group by 1, 2
+union all
+select doc_id, item_id, 1.0::double as similarity, cast(min(s) as bigint) as start_word, count(*) as n_windows from shorts join k using (n, g) group by 1, 2
 """

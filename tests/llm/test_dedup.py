@@ -267,6 +267,43 @@ def test_op10_sql(spark):
     assert check(spark, decontaminate.op10_decontamination, decontaminate.OP10_SQL, "/root/testdata/sf0.01") > 0
 
 
+def test_op10_sql_with_short_items_and_long_texts(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [text(n) for n in (2, 2, 2, 2, 5, 6, 9, 20, 60, 60)] + ["w1 w2", "w1, W2!", "", "..."] + [text(30)] * 2
+    rows = [text(rng.randint(0, 12)) + " " + rng.choice(items) + " " + text(rng.randint(0, 12)) for _ in range(60)] + [text(2000) + " " + items[8] + " " + text(300), "", "w1 w2 w1 w2"]
+    for i in range(40):
+        w = rng.choice(items[6:10] + items[-1:]).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "zz"
+        rows.append(text(5) + " " + " ".join(w) + " " + text(5))
+    spark.createDataFrame([(i, t) for i, t in enumerate(rows)] + [(900, None)], "doc_id long, text string").coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(90, None)], "item_id long, text string").coalesce(1).toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    assert check(spark, decontaminate.op10_decontamination, decontaminate.OP10_SQL, str(tmp_path)) > 80
+
+
+def test_index_finds_all_within_the_radius_and_prunes(spark):
+    rng = np.random.default_rng(3)
+    items = rng.integers(-(1 << 63), (1 << 63) - 1, (40, 4))
+    rows = []
+    for i in range(400):
+        bits = np.zeros(256, np.uint8)
+        bits[rng.permutation(256)[: rng.integers(0, 90)]] = 1
+        rows.append(items[i % 40] ^ np.packbits(bits).view(">i8").astype(np.int64))
+    far = [*rows, *rng.integers(-(1 << 63), (1 << 63) - 1, (400, 4))]
+    names = [f"fp{k}" for k in range(4)]
+    prints = spark.createDataFrame([(i, 7, *map(int, r)) for i, r in enumerate(far)], ["w", "m", *names])
+    of_items = spark.createDataFrame([(str(i), 7, *map(int, r)) for i, r in enumerate(items)], ["item", "m", *names])
+    got = {(r.w, int(r.item)) for r in decontaminate.candidates(prints, of_items, ["w", "m"]).collect()}
+    apart = lambda a, b: sum(int(x).bit_count() for x in (np.array(a) ^ np.array(b)).astype(np.uint64))
+    assert got == {(i, j) for i, a in enumerate(far) for j, b in enumerate(items) if apart(a, b) <= decontaminate.RADIUS}
+    index = of_items.select("item", F.explode(decontaminate.block_values([x for x in range(1 << 16) if x.bit_count() <= 3])).alias("b"))
+    unrelated = prints.filter("w >= 400").select("w", F.explode(decontaminate.block_values([0])).alias("b"))
+    met = unrelated.join(index, "b").select("w", "item").distinct().count()
+    assert met < 0.25 * 400 * 40
+
+
 @pytest.mark.parametrize("rows", [1_000_000, 0])
 def test_decontamination_edge_cases(spark, monkeypatch, rows):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
