@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, literal_offsets
+from ..functions.text import let
 from ..schema import CHUNK_CHARS, CHUNK_OVERLAP, SOURCES
 from .detect import LIST
+from .literals import with_literals
 
 PARAGRAPH = "\n\n"
 FOUND = "array<struct<start:int,end:int,entity_type:string,value:string>>"
@@ -112,18 +113,20 @@ def model_entities(docs: DataFrame, make_client: Callable[[], object], attempts:
 
 
 def echo_entities(docs: DataFrame, names: DataFrame, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, fails: Column | None = None) -> DataFrame:
-    """As model_entities(), for a stand-in client that names each of `names` (name, entity_type; broadcast) that a chunk holds; `fails` over `chunk` says
-    which chunks get no answer. DataFrame functions only."""
-    cut = chunks(docs, max_chars, overlap).withColumn("ok", ~fails if fails is not None else F.lit(True))
-    each = names.filter("name <> ''").groupBy("name").agg(F.min("entity_type").alias("entity_type"))
-    listed = each.agg(F.sort_array(F.collect_list(F.struct("name", "entity_type"))).alias("_names"))  # one row, as a model holds what it knows
-    held = F.filter("_names", lambda n: F.contains("chunk", n["name"]))
-
-    def spans(n: Column) -> Column:
-        return F.transform(literal_offsets(F.col("chunk"), n["name"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), n["entity_type"].alias("entity_type"), n["name"].alias("value")))
-
-    found = F.when(F.col("ok"), F.flatten(F.transform(held, spans))).otherwise(F.array().cast(FOUND))
-    return cut.crossJoin(F.broadcast(listed)).select("case_id", "doc_id", "chunk_no", "offset", "ok", found.alias("found"))
+    """As model_entities(), for a stand-in client that names each of `names` (name, entity_type) that a chunk holds; `fails` over `chunk` says which chunks
+    get no answer. Chunks are read once, whatever the number of names (see literals)."""
+    ok = ~fails if fails is not None else F.lit(True)
+    cut = chunks(docs, max_chars, overlap).withColumn("ok", ok).withColumn("_asked", F.when(F.col("ok"), F.col("chunk"))).drop("chunk")
+    each = names.filter("name <> ''").groupBy(F.col("name").alias("entry")).agg(F.min("entity_type").alias("entity_type"))
+    named = with_literals(cut, each, "_asked", by=None)
+    kinds = [r[0] for r in each.select("entity_type").distinct().limit(2).collect()]
+    if len(kinds) < 2:  # nothing to look up
+        kind = F.lit(kinds[0] if kinds else None).cast("string")
+        return named.withColumn("found", F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("entity_type"), s["entry"].alias("value"))))
+    rows = named.select("case_id", "doc_id", "chunk_no", F.explode("found").alias("s")).select("case_id", "doc_id", "chunk_no", "s.*").join(each, "entry")
+    key = ["case_id", "doc_id", "chunk_no"]
+    spans = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "entity_type", F.col("entry").alias("value")))).alias("_spans"))
+    return named.drop("found").join(spans, key, "left").withColumn("found", F.coalesce("_spans", F.array().cast(FOUND))).drop("_spans")
 
 
 def entity_results(answers: DataFrame) -> DataFrame:

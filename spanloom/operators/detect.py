@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import id_checksum_ok, literal_offsets, name_type, regex_offsets
+from ..functions.text import id_checksum_ok, name_type, regex_offsets
 from ..schema import PATTERNS, SOURCES
+from .literals import with_literals
 
-#: Lexicon rows, at most, that are sent to all executors.
-BROADCAST_ROWS = 200_000
 #: Order of spans: source, then place in the source's list.
 LIST = 1 << 40
 
@@ -50,11 +50,12 @@ def pattern_spans(docs: DataFrame, entity_type: str) -> DataFrame:
 def lexicon_spans(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Every non-overlapping occurrence of every entry of the case's list, entry by entry; empty entries match nothing. One row for each list row: a
     repeated entry reports twice, as it stands in the list twice."""
-    small = lexicon.filter(F.length("entry") > 0).select("case_id", "ord", "entry")
-    joined = docs.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, "case_id").filter(F.contains("text", F.col("entry")))
-    found = joined.select("case_id", "doc_id", "ord", "entry", F.posexplode(literal_offsets(F.col("text"), F.col("entry"))).alias("_at", "s"))
+    listed = lexicon.filter(F.length("entry") > 0).select("case_id", "ord", "entry")
+    found = with_literals(docs.select("case_id", "doc_id", "text"), listed).filter(F.size("found") > 0).select("case_id", "doc_id", F.explode("found").alias("s"))
+    order = W.partitionBy("case_id", "doc_id", "entry").orderBy("start")
+    placed = found.select("case_id", "doc_id", "s.*").withColumn("_at", F.row_number().over(order) - 1).join(listed, ["case_id", "entry"])
     seq = F.lit(SOURCES["lexicon"] * LIST) + F.col("ord") * (1 << 20) + F.col("_at")
-    return found.select("case_id", "doc_id", seq.cast("long").alias("seq"), "s.start", "s.end", name_type(F.col("entry")).alias("entity_type"), F.lit("high").alias("confidence"), F.lit("lexicon").alias("source"), F.col("entry").alias("value"))
+    return placed.select("case_id", "doc_id", seq.cast("long").alias("seq"), "start", "end", name_type(F.col("entry")).alias("entity_type"), F.lit("high").alias("confidence"), F.lit("lexicon").alias("source"), F.col("entry").alias("value"))
 
 
 def all_spans(*parts: DataFrame) -> DataFrame:

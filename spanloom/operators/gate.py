@@ -8,51 +8,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .detect import lexicon_spans, structured_spans
+from .literals import with_literals
 
 
 def decisions(stages: DataFrame) -> DataFrame:
-    """(doc_id, auto_export, reasons): a stage that failed, or found something it isn't sure of, holds the document back; a failure is named before a
+    """(case_id, doc_id, auto_export, reasons): a stage that failed, or found something it isn't sure of, holds the document back; a failure is named before a
     count. Reasons come in the stages' order."""
     reason = F.when(~F.col("ok"), F.concat("name", F.lit(" 检测未能正常完成,需人工确认"))).when(F.col("low_n") > 0, F.concat("name", F.lit(" 发现 "), F.col("low_n").cast("string"), F.lit(" 处需人工核实的疑似内容")))
     told = F.collect_list(F.when(reason.isNotNull(), F.struct("ord", reason.alias("reason"))))
-    return stages.groupBy("doc_id").agg(F.transform(F.sort_array(told), lambda r: r["reason"]).alias("reasons")).select("doc_id", (F.size("reasons") == 0).alias("auto_export"), "reasons")
+    return stages.groupBy("case_id", "doc_id").agg(F.transform(F.sort_array(told), lambda r: r["reason"]).alias("reasons")).select("case_id", "doc_id", (F.size("reasons") == 0).alias("auto_export"), "reasons")
 
 
 def stage_table(docs: DataFrame, spans: DataFrame, entity_results: DataFrame, duplicates: DataFrame, pages: DataFrame | None = None, native_tables: DataFrame | None = None) -> DataFrame:
-    """stages of each document: ocr, ledger, tables, same names, regex, lexicon, llm. Counts are of what detectors report, before spans are merged.
+    """stages of each document, told apart by case and id: ocr, ledger, tables, same names, regex, lexicon, llm. Counts are of what detectors report, before
+    spans are merged.
 
-    pages: (doc_id, source, n_low, possible_table); native_tables: doc_ids of files with a table of their own, counted on top of the pages' flags.
+    pages: (case_id, doc_id, source, n_low, possible_table); native_tables: (case_id, doc_id) of files with a table of their own, counted on top of the pages'
+    flags.
     """
-    base = docs.select("case_id", "doc_id")
+    key = ["case_id", "doc_id"]
+    seen = docs.select(*key)
     if pages is None:
-        seen = base.select("doc_id", F.lit(0).cast("long").alias("ocr"), F.lit(0).cast("long").alias("failed"), F.lit(0).cast("long").alias("tables"))
+        seen = seen.withColumns({n: F.lit(0).cast("long") for n in ("ocr", "failed", "tables")})
     else:
-        counted = pages.groupBy("doc_id").agg(
+        counted = pages.groupBy(*key).agg(
             F.sum(F.when(F.col("source").isin("ocr", "mixed"), F.col("n_low")).otherwise(0)).cast("long").alias("ocr"), F.count_if(F.col("source") == "failed").alias("failed"), F.count_if("possible_table").alias("tables")
         )
-        seen = base.select("doc_id").join(counted, "doc_id", "left").na.fill(0)
+        seen = seen.join(counted, key, "left").na.fill(0, ["ocr", "failed", "tables"])
     if native_tables is not None:
-        seen = seen.join(native_tables.select("doc_id", F.lit(1).alias("_own")), "doc_id", "left").withColumn("tables", F.col("tables") + F.coalesce("_own", F.lit(0))).drop("_own")
-    names = base.join(duplicates.groupBy("case_id").agg(F.count("*").alias("names")), "case_id", "left").select("doc_id", F.coalesce("names", F.lit(0)).alias("names"))
-    low = spans.filter("source = 'regex' and confidence = 'low'").groupBy("doc_id").agg(F.count("*").alias("low"))
-    all_of = seen.join(names, "doc_id").join(low, "doc_id", "left").join(entity_results.select("doc_id", F.col("ok").alias("llm_ok"), F.col("n_spans").alias("llm")), "doc_id", "left")
+        seen = seen.join(native_tables.select(*key, F.lit(1).alias("_own")).distinct(), key, "left").withColumn("tables", F.col("tables") + F.coalesce("_own", F.lit(0))).drop("_own")
+    names = duplicates.groupBy("case_id").agg(F.count("*").alias("names"))
+    low = spans.filter("source = 'regex' and confidence = 'low'").groupBy(*key).agg(F.count("*").alias("low"))
+    all_of = seen.join(names, "case_id", "left").join(low, key, "left").join(entity_results.select(*key, F.col("ok").alias("llm_ok"), F.col("n_spans").alias("llm")), key, "left")
     rows = [("ocr", F.lit(True), "ocr"), ("处理台账", F.col("failed") == 0, None), ("表格/表单", F.lit(True), "tables"), ("同名待确认", F.lit(True), "names"), ("regex", F.lit(True), "low"), ("lexicon", F.lit(True), None), ("llm", F.coalesce("llm_ok", F.lit(False)), "llm")]
     made = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), ok.alias("ok"), (F.coalesce(c, F.lit(0)) if c else F.lit(0)).cast("long").alias("low_n")) for i, (n, ok, c) in enumerate(rows)))
-    return all_of.select("doc_id", F.explode(made).alias("s")).select("doc_id", "s.*")
+    return all_of.select(*key, F.explode(made).alias("s")).select(*key, "s.*")
 
 
 def mapping_leaks(texts: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(doc_id, value): mapped values of the case that a text still holds. A join on the case with a substring test; the values are first reduced to the
-    distinct ones that are no longer than the longest text."""
-    values = mapping.filter("value <> ''").select("case_id", "value").distinct()
-    return texts.join(values, "case_id").filter(F.contains("text", F.col("value"))).select("case_id", "doc_id", "value")
+    """(case_id, doc_id, value): mapped values of the case that a text still holds. One pass over each text (see literals), no join of texts and values."""
+    found = with_literals(texts.select("case_id", "doc_id", "text"), mapping.select("case_id", F.col("value").alias("entry")))
+    each = F.array_distinct(F.transform("found", lambda s: s["entry"]))
+    return found.select("case_id", "doc_id", F.explode(each).alias("value"))
 
 
 def leaks(texts: DataFrame, mapping: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(case_id, doc_id, check_no, ord, value, message) over final texts (case_id, doc_id, text): 1 mapped values, 2 structured patterns, 3 list names.
     A document is fine if it has no row. Values are personal data: keep them out of logs."""
     kept = mapping.filter("value <> ''").groupBy("case_id", "value").agg(F.min(F.struct("label", "num")).alias("_o"))
-    first = texts.join(kept, "case_id").filter(F.contains("text", F.col("value"))).select("case_id", "doc_id", F.lit(1).alias("check_no"), F.xxhash64("_o").alias("ord"), "value", F.concat(F.lit("「"), "value", F.lit("」的脱敏未完全生效,在最终文本中仍能找到")).alias("message"))
+    first = mapping_leaks(texts, mapping).join(kept, ["case_id", "value"]).select("case_id", "doc_id", F.lit(1).alias("check_no"), F.xxhash64("_o").alias("ord"), "value", F.concat(F.lit("「"), "value", F.lit("」的脱敏未完全生效,在最终文本中仍能找到")).alias("message"))
 
     def found(spans: DataFrame, no: int, before, after) -> DataFrame:
         return spans.select("case_id", "doc_id", F.lit(no).alias("check_no"), F.col("seq").alias("ord"), "value", F.concat(before, F.lit("「"), "value", F.lit("」"), after).alias("message"))

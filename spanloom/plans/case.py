@@ -31,6 +31,7 @@ class CasePlan:
     answers: DataFrame
     prior: DataFrame | None = None
     pages: DataFrame | None = None
+    native_tables: DataFrame | None = None
 
     @cached_property
     def told(self) -> DataFrame:
@@ -64,7 +65,7 @@ class CasePlan:
 
     @cached_property
     def stages(self) -> DataFrame:
-        return gate.stage_table(self.docs, self.spans, chunk.entity_results(self.told), self.duplicates, self.pages)
+        return gate.stage_table(self.docs, self.spans, chunk.entity_results(self.told), self.duplicates, self.pages, self.native_tables)
 
     @cached_property
     def decisions(self) -> DataFrame:
@@ -81,7 +82,7 @@ class CasePlan:
 
     @cached_property
     def clean_cases(self) -> DataFrame:
-        return gate.clean_cases(self.docs.select("case_id", "doc_id").join(self.decisions, "doc_id"), self.leaks)
+        return gate.clean_cases(self.decisions, self.leaks)
 
     def approved(self) -> tuple[DataFrame, DataFrame]:
         """Candidates that the second check lets out, and those that it holds back, all against the mapping as it is now."""
@@ -98,13 +99,18 @@ class CasePlan:
         each = self.docs.select("case_id", "doc_id").join(new, ["case_id", "doc_id"], "left")
         if old is not None:
             each = each.join(old, "case_id", "left")
-        total = F.sum(F.coalesce("_new", F.lit(0))).over(W.partitionBy("case_id").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))
-        return each.select("case_id", "doc_id", (total + (F.coalesce("_old", F.lit(0)) if old is not None else F.lit(0))).alias("mapping_size"))
+        # block by block of documents, so that a large case isn't one task
+        block = each.withColumn("_block", F.floor(F.col("doc_id") / tokens.BLOCK))
+        sums = block.groupBy("case_id", "_block").agg(F.sum(F.coalesce("_new", F.lit(0))).alias("_sum"))
+        before = sums.select("case_id", "_block", F.coalesce(F.sum("_sum").over(W.partitionBy("case_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        within = F.sum(F.coalesce("_new", F.lit(0))).over(W.partitionBy("case_id", "_block").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))
+        total = within + F.col("_before") + (F.coalesce("_old", F.lit(0)) if old is not None else F.lit(0))
+        return block.join(before, ["case_id", "_block"]).select("case_id", "doc_id", total.alias("mapping_size"))
 
     @cached_property
     def report_rows(self) -> DataFrame:
         told = self.leaks.groupBy("case_id", "doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("check_no", "ord", "message"))), lambda x: x["message"]).alias("_leaks"))
-        base = self.docs.select("case_id", "doc_id").join(self.decisions, "doc_id").join(self.growth, ["case_id", "doc_id"]).join(told, ["case_id", "doc_id"], "left")
+        base = self.decisions.join(self.growth, ["case_id", "doc_id"]).join(told, ["case_id", "doc_id"], "left")
         none = "array<struct<page_number:int,reason:string>>", "array<struct<page_number:int,image:string,lines:array<struct<text:string,confidence:double>>>>"
         return base.select(
             "case_id", F.col("doc_id").alias("ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "auto_export", "reasons", "mapping_size",

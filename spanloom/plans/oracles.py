@@ -3,10 +3,29 @@ recursion, texts by ordered string_agg."""
 
 from __future__ import annotations
 
-from ..operators import report as R
-from ..schema import ID_CODES, ID_WEIGHTS, LABELS, ORG_WORDS, OTHER_LABEL, PATTERNS, RECALL_FLOORS
 from . import queries as Q
 
+#: Fixed values, written out again and not taken from the engine: a wrong one there must not pass on both sides.
+PATTERNS = {
+    "ID_CARD": r"\p{Nd}{17}[\p{Nd}Xx]",
+    "PHONE": r"1[3-9]\p{Nd}{9}",
+    "BANK_CARD": r"\p{Nd}{16,19}",
+    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "BIRTHDATE": r"\p{Nd}{4}年\p{Nd}{1,2}月\p{Nd}{1,2}日出生",
+    "CASE_NUMBER": r"[\(（]\p{Nd}{4}[\)）][一-龥]{1,6}\p{Nd}{0,4}[一-龥]{1,4}\p{Nd}{1,8}号",
+}
+ID_WEIGHTS = [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2]
+ID_CODES = "10X98765432"
+ORG_WORDS = ["公司", "集团", "事务所", "银行", "医院", "法院", "学校", "协会", "中心", "厂"]
+LABELS = {"PERSON": "人名", "ORG": "机构", "ID_CARD": "身份证", "PHONE": "电话", "BANK_CARD": "银行卡", "EMAIL": "邮箱", "ADDRESS": "地址", "BIRTHDATE": "出生日期", "CASE_NUMBER": "案号"}
+OTHER_LABEL = "信息"
+RECALL_FLOORS = {"identity": 1.0, "standard": 0.85}
+TITLE = "# 脱敏处理报告"
+HELD = "⚠️ 有文档需要人工核实,请看下面每份文档的详情,确认无误后再运行「批准并导出」。"
+CLEAN = "✅ 所有文档均未发现需要人工核实的内容,可以直接批准导出。"
+LEAK_TITLE = "### 🚨 检测到可能的信息残留(独立复查发现,优先处理)"
+LEAK_TEXT = "系统在导出前对最终文本做了一次独立复查,发现以下内容可能仍然包含未脱敏的敏感信息。这个检查和上面的正常审核是分开的、更严格的一道关卡——即使其他部分显示「没问题」,这里列出的内容也必须先处理掉才能导出。"
+
 
 def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -59,7 +78,7 @@ def structured(source: str) -> str:
     """Common table expressions up to `structured`: case_id, doc_id, det, i, s, e, entity_type, confidence."""
     raw = ", ".join(f"m_{k.lower()} as {matches(source, p)}" for k, p in PATTERNS.items())
     rest = " union all ".join(f"select case_id, doc_id, {n}, i, s, e, '{k}', 'high' from m_{k.lower()}" for n, k in ((3, "EMAIL"), (4, "BIRTHDATE"), (5, "CASE_NUMBER")))
-    inside = "not exists (select 1 from m_id_card d where d.doc_id = p.doc_id and d.s <= p.s and p.e <= d.e)"
+    inside = "not exists (select 1 from m_id_card d where d.case_id = p.case_id and d.doc_id = p.doc_id and d.s <= p.s and p.e <= d.e)"
     return f"""{raw}, structured as (
         select case_id, doc_id, 0 as det, i, s, e, 'ID_CARD' as entity_type, case when {checksum("value")} then 'high' else 'low' end as confidence from m_id_card
         union all select case_id, doc_id, 1, i, s, e, 'PHONE', 'high' from m_phone p where {inside}
@@ -121,7 +140,7 @@ REPORT = f"""{TOKENS}, stages as {STAGES.split('stages as ')[1]}, {GATE},
     grown as (select case_id, doc_id, cast(sum(n) over (partition by case_id order by doc_id) as bigint) as size from (select d.case_id, d.doc_id, count(m.value) as n from {DOCS} d left join mapping m on m.doc_id = d.doc_id group by 1, 2)),
     section as (select case_id, doc_id, auto_export, doc_id || '.txt' as heading, '## ' || doc_id || '.txt' || chr(10) || case when auto_export then '状态: ✅ 未发现需要人工核实的内容' else '状态: ⚠️ 需要人工核实' || chr(10) || '- ' || replace(reasons, '|', chr(10) || '- ') end
         || chr(10) || '本文档共替换 ' || size || ' 处敏感信息。' as section from grown join gate using (doc_id)),
-    report as (select case_id, {text(R.TITLE)} || chr(10) || chr(10) || case when bool_and(auto_export) then {text(R.CLEAN)} else {text(R.HELD)} end || chr(10) || chr(10) || string_agg(section || chr(10), chr(10) order by doc_id) as report from section group by 1)"""
+    report as (select case_id, {text(TITLE)} || chr(10) || chr(10) || case when bool_and(auto_export) then {text(CLEAN)} else {text(HELD)} end || chr(10) || chr(10) || string_agg(section || chr(10), chr(10) order by doc_id) as report from section group by 1)"""
 TRUTHS = f"""{MASKED}, second_reach as (select *, max(e) over (partition by doc_id order by s, e, src, o1, o2 rows between unbounded preceding and 1 preceding) as far from spans where src < 2),
     second_islands as (select *, sum(case when far is null or s >= far then 1 else 0 end) over (partition by doc_id order by s, e, src, o1, o2 rows unbounded preceding) as island from second_reach),
     second as (select * from (select *, row_number() over (partition by doc_id, island order by case confidence when 'high' then 0 else 1 end, e - s, s, e, src, o1, o2) as best from second_islands) where best = 1),
@@ -130,6 +149,22 @@ TRUTHS = f"""{MASKED}, second_reach as (select *, max(e) over (partition by doc_
         union all select l.doc_id, 'standard', substr(d.text, l.s + 1, l.e - l.s) from {LEX_SPANS} l join {DOCS} d using (doc_id))),
     hits as (select doc, category, gt_text, coalesce((select bool_and(h) from (select bool_or(contains(f.value, x.gt_text)) as h from found f where f.doc_id = x.doc_id group by f.run)), false) as hit from expected x)"""
 
+RESIDUES = f"(select case_id, cast(doc_id as bigint) as doc_id, text from {values(Q.RESIDUES, 'case_id, doc_id, text')})"
+RESIDUE_LEAKS = f"""with {structured(RESIDUES)}, texts as (select * from {RESIDUES}), mapping as (select * from {values(Q.RESIDUE_MAPPING, 'case_id, label, num, token, value')} where value <> ''),
+    listed as (select case_id as list_case, ord, entry from {values(Q.RESIDUE_LIST, 'case_id, ord, entry')}),
+    leaks as (select t.case_id, t.doc_id, 1 as check_no, m.value, '「' || m.value || '」的脱敏未完全生效,在最终文本中仍能找到' as message from texts t join mapping m on m.case_id = t.case_id and contains(t.text, m.value)
+    union all select t.case_id, t.doc_id, 2, substr(t.text, s + 1, e - s), '最终文本中发现疑似残留的敏感信息(' || entity_type || '): 「' || substr(t.text, s + 1, e - s) || '」' from structured x join texts t on t.case_id = x.case_id and t.doc_id = x.doc_id
+    union all select case_id, doc_id, 3, value, '最终文本中发现「案件人员清单」里的姓名/机构名仍未脱敏: 「' || value || '」' from {literals('texts', 'listed', 'entry', 'case_id, doc_id, list_case, ord, entry')} where case_id = list_case)"""
+GATE_STAGES = f"""with docs as (select * from {values(Q.GATE_DOCS, 'case_id, doc_id')}), pages as (select * from {values(Q.GATE_PAGES, 'case_id, doc_id, source, n_low, possible_table')}),
+    own as (select * from {values(Q.GATE_TABLES, 'case_id, doc_id')}), answers as (select * from {values(Q.GATE_ANSWERS, 'case_id, doc_id, ok, n_spans')}), twice as (select * from {values(Q.GATE_NAMES, 'case_id, entry, ord')}), low as (select * from {values(Q.GATE_LOW, 'case_id, doc_id, confidence')}),
+    stages as (select d.case_id, cast(d.doc_id as bigint) as doc_id, cast(o.ord as int) as ord, o.name,
+        case o.ord when 1 then not exists (select 1 from pages p where p.case_id = d.case_id and p.doc_id = d.doc_id and source = 'failed') when 6 then coalesce((select ok from answers a where a.case_id = d.case_id and a.doc_id = d.doc_id), false) else true end as ok,
+        cast(case o.ord when 0 then coalesce((select sum(n_low) from pages p where p.case_id = d.case_id and p.doc_id = d.doc_id and source in ('ocr', 'mixed')), 0)
+            when 2 then (select count(*) from pages p where p.case_id = d.case_id and p.doc_id = d.doc_id and possible_table) + (select count(*) from own w where w.case_id = d.case_id and w.doc_id = d.doc_id)
+            when 3 then (select count(*) from twice t where t.case_id = d.case_id) when 4 then (select count(*) from low l where l.case_id = d.case_id and l.doc_id = d.doc_id and confidence = 'low')
+            when 6 then coalesce((select n_spans from answers a where a.case_id = d.case_id and a.doc_id = d.doc_id), 0) else 0 end as bigint) as low_n
+        from docs d cross join (values (0, 'ocr'), (1, '处理台账'), (2, '表格/表单'), (3, '同名待确认'), (4, 'regex'), (5, 'lexicon'), (6, 'llm')) as o(ord, name))"""
+
 OFFSETS = "cast(s as int) as span_start, cast(e as int) as span_end"
 
 
@@ -165,6 +200,14 @@ def oracles() -> dict[str, str]:
         "stage_counts": f"{STAGES} select * from stages",
         "export_gate": f"{STAGES}, {GATE} select * from gate",
         "export_gate_fixture": f"with stages as {values(Q.STAGES, 'doc_id, ord, name, ok, low_n')}, {GATE} select cast(doc_id as bigint) as doc_id, auto_export, reasons from gate",
+        "stage_counts_fixture": f"{GATE_STAGES} select * from stages",
+        "export_gate_cases_fixture": f"{GATE_STAGES}, {GATE.replace('select doc_id, count(r)', 'select case_id, doc_id, count(r)').replace('group by doc_id', 'group by case_id, doc_id')} select * from gate",
+        "leak_check_fixture": f"{RESIDUE_LEAKS} select case_id, doc_id, check_no, value, message, count(*) as n from leaks group by all",
+        "approve_split_fixture": f"{RESIDUE_LEAKS} select case_id, doc_id, not exists (select 1 from leaks l where l.case_id = t.case_id and l.doc_id = t.doc_id) as approved from texts t",
+        "report_leaks_fixture": f"""{RESIDUE_LEAKS}, told as (select case_id, doc_id, string_agg('- ' || message, chr(10) order by message) as found from (select distinct case_id, doc_id, message from leaks) group by 1, 2),
+            parts as (select t.case_id, t.doc_id, found is not null as held, '## ' || t.doc_id || '.txt' || chr(10) || case when found is null then '' else {text(LEAK_TITLE)} || chr(10) || {text(LEAK_TEXT)} || chr(10) || found || chr(10) || chr(10) end
+            || '状态: ✅ 未发现需要人工核实的内容' || chr(10) || '本文档共替换 2 处敏感信息。' || chr(10) as part from texts t left join told x on x.case_id = t.case_id and x.doc_id = t.doc_id)
+            select case_id, {text(TITLE)} || chr(10) || chr(10) || case when bool_or(held) then {text(HELD)} else {text(CLEAN)} end || chr(10) || chr(10) || string_agg(part, chr(10) order by doc_id) as report from parts group by 1""",
         "leak_mapping": f"{MASKED} select d.doc_id, m.value from {DOCS} d join mapping m on m.case_id = d.case_id and contains(d.text, m.value)",
         "leak_regex": f"{MASKED}, {LATER} select doc_id, {OFFSETS}, entity_type from again",
         "leak_lexicon": f"{MASKED} select doc_id, {OFFSETS} from {LEX_AGAIN}",
@@ -173,7 +216,7 @@ def oracles() -> dict[str, str]:
         "case_all_clean": f"{DECIDED} select case_id, bool_and(auto_export and doc_id not in (select doc_id from leaks)) as all_clean from {DOCS} join gate using (doc_id) group by 1",
         "report_text": f"{REPORT} select * from report",
         "report_sections": f"{REPORT} select case_id, heading, section from section",
-        "report_merged": f"select 'c' as case_id, replace(rtrim({text(Q.REPORT_NEW)}, chr(10)), {text(R.CLEAN)}, {text(R.HELD)}) || chr(10) || chr(10) || rtrim(substr({text(Q.REPORT_OLD)}, instr({text(Q.REPORT_OLD)}, '## b.txt')), chr(10)) || chr(10) as report",
+        "report_merged": f"select 'c' as case_id, replace(rtrim({text(Q.REPORT_NEW)}, chr(10)), {text(CLEAN)}, {text(HELD)}) || chr(10) || chr(10) || rtrim(substr({text(Q.REPORT_OLD)}, instr({text(Q.REPORT_OLD)}, '## b.txt')), chr(10)) || chr(10) as report",
         "table_flag_fixture": f"""with recursive e as (select page_id, x, row_number() over (partition by page_id order by x) as i, count(*) over (partition by page_id) as n from {boxes}),
             g as (select page_id, i, x as first, 1 as grp, n from e where i = 1 union all select e.page_id, e.i, case when abs(e.x - g.first) <= 0.02 then g.first else e.x end, case when abs(e.x - g.first) <= 0.02 then g.grp else g.grp + 1 end, e.n from g join e on e.page_id = g.page_id and e.i = g.i + 1)
             select page_id, count(*) filter (where size >= 3) >= 2 as possible_table from (select page_id, grp, count(*) as size from g group by 1, 2) group by 1""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import id_checksum_ok, name_type
 from ..operators import chunk, detect, gate, layout, merge, report, scoring, tokens
 from .case import CasePlan
+from .staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +27,20 @@ LAYERS = [(1, "这一页有足够多的文字层内容可以直接采用不必
 PAGES = [(1, 1, "第一页", "text_layer"), (1, 2, "第二页", "ocr"), (1, 10, "第十页", "mixed"), (2, 1, "", "failed")]
 NAMES = [(1, "张三"), (2, "李四贸易有限公司"), (3, "  张三 "), (4, "王芳"), (5, "李四贸易有限公司\t"), (6, "第一人民医院"), (7, ""), (8, "鸿运电子厂")]
 STAGES = [(1, 0, "ocr", True, 0), (1, 1, "regex", True, 0), (2, 0, "ocr", True, 0), (2, 1, "regex", True, 2), (3, 0, "llm", False, 0), (4, 0, "ocr", True, 1), (4, 1, "llm", False, 5)]
+#: Masked texts of two cases with residues of every kind, the mapping and the lists that they are held against. One doc_id is in both cases.
+RESIDUES = [
+    ("甲案", 1, "⟦人名001⟧与⟦机构001⟧签约,无其他内容。"), ("甲案", 2, "⟦人名001⟧即周启明,再见周启明。"), ("甲案", 3, "新留电话13912345678,邮箱 left@over.cn,证件110101199003072316"),
+    ("甲案", 4, "另有白云贸易有限公司在场"), ("甲案", 5, "周启明、白云贸易有限公司、13912345678"), ("乙案", 1, "乙案不认识周启明"), ("乙案", 2, "林晓与林晓峰"), ("乙案", 6, ""),
+]
+RESIDUE_MAPPING = [("甲案", "人名", 1, "⟦人名001⟧", "周启明"), ("甲案", "机构", 1, "⟦机构001⟧", "白云贸易有限公司"), ("乙案", "人名", 1, "⟦人名001⟧", "林晓"), ("乙案", "人名", 2, "⟦人名002⟧", "")]
+RESIDUE_LIST = [("甲案", 0, "白云贸易有限公司"), ("乙案", 0, "林晓峰"), ("乙案", 1, "林晓峰"), ("乙案", 2, "林晓")]
+#: Pages, files with tables of their own, and entity results of documents of two cases.
+GATE_DOCS = [("甲案", 1), ("甲案", 2), ("甲案", 3), ("乙案", 1), ("乙案", 2)]
+GATE_PAGES = [("甲案", 1, "text_layer", 0, False), ("甲案", 1, "ocr", 2, False), ("甲案", 2, "failed", 0, False), ("甲案", 2, "mixed", 1, True), ("乙案", 1, "ocr", 0, True), ("乙案", 1, "text_layer", 7, False)]
+GATE_TABLES = [("甲案", 3), ("乙案", 1)]
+GATE_ANSWERS = [("甲案", 1, True, 0), ("甲案", 2, True, 3), ("甲案", 3, False, 0), ("乙案", 1, True, 0)]
+GATE_NAMES = [("甲案", "王芳", 0)]
+GATE_LOW = [("甲案", 3, "low"), ("乙案", 2, "low"), ("乙案", 2, "high")]
 REPORT_OLD = "# 脱敏处理报告\n\n✅ 所有文档均未发现需要人工核实的内容,可以直接批准导出。\n\n## a.txt\n状态: ✅ 未发现需要人工核实的内容\n本文档共替换 1 处敏感信息。\n\n## b.txt\n状态: ⚠️ 需要人工核实\n- llm 发现 2 处需人工核实的疑似内容\n本文档共替换 2 处敏感信息。\n"
 REPORT_NEW = "# 脱敏处理报告\n\n✅ 所有文档均未发现需要人工核实的内容,可以直接批准导出。\n\n## a.txt\n状态: ✅ 未发现需要人工核实的内容\n本文档共替换 3 处敏感信息。\n"
 
@@ -180,7 +195,7 @@ def entity_fail_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(spark, sf_dir).stages
+    return plan(spark, sf_dir).stages.drop("case_id")
 
 
 @query
@@ -190,7 +205,53 @@ def export_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def export_gate_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.decisions(spark.createDataFrame(STAGES, "doc_id long, ord int, name string, ok boolean, low_n long")).select("doc_id", "auto_export", F.array_join("reasons", "|").alias("reasons"))
+    return gate.decisions(spark.createDataFrame(STAGES, "doc_id long, ord int, name string, ok boolean, low_n long").withColumn("case_id", F.lit("c"))).select("doc_id", "auto_export", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query
+def stage_counts_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven stages with something to tell, of documents whose ids are in two cases."""
+    docs = spark.createDataFrame(GATE_DOCS, "case_id string, doc_id long")
+    pages = spark.createDataFrame(GATE_PAGES, "case_id string, doc_id long, source string, n_low int, possible_table boolean")
+    spans = spark.createDataFrame(GATE_LOW, "case_id string, doc_id long, confidence string").withColumn("source", F.lit("regex"))
+    answers = spark.createDataFrame(GATE_ANSWERS, "case_id string, doc_id long, ok boolean, n_spans long")
+    names_ = spark.createDataFrame(GATE_NAMES, "case_id string, entry string, ord long")
+    return gate.stage_table(docs, spans, answers, names_, pages, spark.createDataFrame(GATE_TABLES, "case_id string, doc_id long"))
+
+
+@query
+def export_gate_cases_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.decisions(stage_counts_fixture(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+def _residues(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    texts = spark.createDataFrame(RESIDUES, "case_id string, doc_id long, text string")
+    mapping = spark.createDataFrame(RESIDUE_MAPPING, "case_id string, label string, num int, token string, value string")
+    return texts, staged(gate.leaks(texts, mapping, spark.createDataFrame(RESIDUE_LIST, "case_id string, ord long, entry string")), "residues")
+
+
+@query
+def leak_check_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residues(spark)[1].groupBy("case_id", "doc_id", "check_no", "value", "message").agg(F.count("*").alias("n"))
+
+
+@query
+def approve_split_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, bad = gate.split_by_leaks(*_residues(spark))
+    return good.select("case_id", "doc_id", F.lit(True).alias("approved")).unionByName(bad.select("case_id", "doc_id", F.lit(False).alias("approved")))
+
+
+@query
+def report_leaks_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with the part on leaks: one message a document, as their order among equals of one kind is no one's concern."""
+    texts, found = _residues(spark)
+    told = found.groupBy("case_id", "doc_id").agg(F.sort_array(F.collect_set("message")).alias("leaks"))
+    none = "array<struct<page_number:int,reason:string>>", "array<struct<page_number:int,image:string,lines:array<struct<text:string,confidence:double>>>>"
+    rows = texts.join(told, ["case_id", "doc_id"], "left").select(
+        "case_id", F.col("doc_id").alias("ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit(True).alias("auto_export"), F.array().cast("array<string>").alias("reasons"), F.lit(2).cast("long").alias("mapping_size"),
+        F.coalesce("leaks", F.array().cast("array<string>")).alias("leaks"), F.array().cast(none[0]).alias("failed_pages"), F.array().cast(none[1]).alias("flagged_pages"),
+    )
+    return report.reports(rows, spark.createDataFrame([], "case_id string, entry string, ord long"))
 
 
 @query
@@ -289,8 +350,8 @@ def _truths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = plan(spark, sf_dir)
     key = F.col("doc_id").cast("string").alias("doc")
     identity = detect.pattern_spans(p.docs, "EMAIL").unionByName(detect.pattern_spans(p.docs, "PHONE")).select(key, F.lit("identity").alias("category"), F.col("value").alias("gt_text"))
-    listed = tokens.valued(p.docs, detect.lexicon_spans(p.docs, p.lexicon)).select(key, F.lit("standard").alias("category"), F.col("value").alias("gt_text"))
-    second = tokens.valued(p.docs, merge.merged(p.spans.filter("source <> 'llm'")))
+    listed = p.spans.filter("source = 'lexicon'").select(key, F.lit("standard").alias("category"), F.col("value").alias("gt_text"))
+    second = merge.merged(p.spans.filter("source <> 'llm'"))
     found = p.values.select(key, F.lit(1).alias("run"), "value").unionByName(second.select(key, F.lit(2).alias("run"), "value"))
     return identity.unionByName(listed).distinct(), found
 
