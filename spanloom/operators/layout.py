@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..schema import COLUMN_ROWS, COLUMN_TOLERANCE, IMAGE_AREA, LOW_OCR, TABLE_COLUMNS, TEXT_LAYER_CHARS
 
+#: Fixed value: what stands before recognised text on a page with text of its own.
+PICTURE_ON_PAGE = "\n\n[本页另含图片内容,以下为该图片的 OCR 识别结果]\n"
+
 
 def table_like(lefts: Column) -> Column:
     """Whether left edges (array<double>) form at least two columns of three. Sorted edges belong together while they are within the tolerance of the
@@ -45,7 +48,7 @@ def page_route(text_layer: Column, areas: Column) -> Column:
 
 
 def routed_text(route: Column, text_layer: Column, ocr_text: Column) -> Column:
-    both = F.concat(F.regexp_replace(text_layer, r"\s+$", ""), F.lit("\n\n[本页另含图片内容,以下为该图片的 OCR 识别结果]\n"), ocr_text)
+    both = F.concat(F.regexp_replace(text_layer, r"\s+$", ""), F.lit(PICTURE_ON_PAGE), ocr_text)
     return F.when(route == "text_layer", text_layer).when(route == "mixed", both).otherwise(ocr_text)
 
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 
@@ -6,19 +7,16 @@ from spanloom.operators import chunk, gate, layout, report, scoring
 from spanloom.plans.case import CasePlan, check_case_name
 
 
-def sequential(text, size, overlap):
-    if len(text) <= size:
-        return [(0, text)]
-    out, start, margin = [], 0, max(size // 4, overlap + 1)
-    while True:
-        end = min(start + size, len(text))
-        if end < len(text):
-            at = text.rfind("\n\n", max(start, end - margin), end)
-            end = at if at > start else end
-        out.append((start, text[start:end]))
-        if end == len(text):
-            return out
-        start = max(end - overlap, start + 1)
+def check_chunks(text, cut, size, overlap):
+    """What has to hold of a text's (offset, chunk) rows."""
+    ends = [at + len(c) for at, c in cut]
+    assert all(text[at:end] == c for (at, c), end in zip(cut, ends)) and cut[0][0] == 0 and ends[-1] == len(text)
+    assert (len(cut) == 1) == (len(text) <= size) and all(len(c) <= size for _, c in cut)
+    assert [at for at, _ in cut[1:]] == [max(end - overlap, at + 1) for (at, _), end in zip(cut, ends[:-1])]
+    breaks = [m.start() for m in re.finditer("(?=\n\n)", text)]
+    for (at, _), end in zip(cut, ends[:-1]):  # the last paragraph break of the final part, or the full size
+        tail = at + size - max(size // 4, overlap + 1)
+        assert end == max((b for b in breaks if max(at + 1, tail) <= b <= at + size - 2), default=at + size)
 
 
 def docs(spark, texts, case="c"):
@@ -34,7 +32,9 @@ def test_chunks(spark, size, overlap):
     got = {}
     for r in chunk.chunks(docs(spark, texts), size, overlap).orderBy("doc_id", "chunk_no").collect():
         got.setdefault(r.doc_id, []).append((r.offset, r.chunk))
-    assert got == {i: sequential(t, size, overlap) for i, t in enumerate(texts)}
+    assert set(got) == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        check_chunks(t, got[i], size, overlap)
 
 
 class Answers:
@@ -73,10 +73,27 @@ def test_one_failed_chunk_fails_the_document(spark):
 
 def test_gate_names_all_reasons(spark):
     rows = [(1, 0, "ocr", True, 0), (2, 0, "ocr", True, 3), (2, 1, "llm", False, 9), (3, 0, "llm", False, 0)]
-    got = {r.doc_id: (r.auto_export, r.reasons) for r in gate.decisions(spark.createDataFrame(rows, "doc_id long, ord int, name string, ok boolean, low_n long")).collect()}
+    got = {r.doc_id: (r.auto_export, r.reasons) for r in gate.decisions(spark.createDataFrame([("c", *r) for r in rows], "case_id string, doc_id long, ord int, name string, ok boolean, low_n long")).collect()}
     assert got[1] == (True, []) and got[2] == (False, ["ocr 发现 3 处需人工核实的疑似内容", "llm 检测未能正常完成,需人工确认"]) and got[3][0] is False
 
 
+def test_literals_against_search(spark, monkeypatch):
+    import random
+
+    from spanloom.operators import literals
+
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("ab😀甲") for _ in range(n))
+    entries = [(c, e) for c in "xy" for e in {text(rng.randint(0, 4)) for _ in range(40)}] + [("x", None)]
+    rows = [("xyz"[i % 3], i, text(rng.randint(0, 60)) if i else None) for i in range(40)]
+    d, e = spark.createDataFrame(rows, "case_id string, doc_id long, text string"), spark.createDataFrame(entries, "case_id string, entry string")
+    for size in (8 << 20, 700):  # one block, several
+        monkeypatch.setattr(literals, "BLOCK_BYTES", size)
+        got = {r.doc_id: sorted((s.start, s.end, s.entry) for s in r.found) for r in literals.with_literals(d, e).collect()}
+        assert got == {i: sorted((m.start(), m.end(), w) for k, w in entries if k == c and w for m in re.finditer(re.escape(w), t or "")) for c, i, t in rows}
+    assert literals.with_literals(d, e.limit(0)).filter("size(found) > 0").count() == 0
+
+
 def test_leaks_and_approval(spark):
     texts = docs(spark, ["干净的⟦人名001⟧", "还有张三", "新号码13812345678", "漏了李四公司", "邮箱a@b.cn"])
     mapping = spark.createDataFrame([("c", "人名", 1, "⟦人名001⟧", "张三"), ("d", "人名", 1, "⟦人名001⟧", "干净"), ("c", "人名", 2, "⟦人名002⟧", "")], "case_id string, label string, num int, token string, value string")
@@ -96,7 +113,7 @@ def test_whole_case(spark):
     assert not plan.clean_cases.first().all_clean  # the name that is listed twice holds all of them back
     text = plan.reports.first().report
     assert text.startswith("# 脱敏处理报告\n\n⚠️ 有文档需要人工核实") and "- 李四\n" in text and "本文档共替换 3 处敏感信息。" in text
-    pages = spark.createDataFrame([(0, "failed", 0, False), (1, "ocr", 2, True), (1, "text_layer", 5, False)], "doc_id long, source string, n_low int, possible_table boolean")
+    pages = spark.createDataFrame([("c", 0, "failed", 0, False), ("c", 1, "ocr", 2, True), ("c", 1, "text_layer", 5, False), ("other", 2, "failed", 9, True)], "case_id string, doc_id long, source string, n_low int, possible_table boolean")
     stages = {(r.doc_id, r.ord): (r.ok, r.low_n) for r in CasePlan(d, lexicon, plan.answers, pages=pages).stages.collect()}
     assert stages[0, 1] == (False, 0) and stages[1, 0] == (True, 2) and stages[1, 2] == (True, 1) and stages[2, 3] == (True, 1)
 

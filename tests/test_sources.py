@@ -94,3 +94,112 @@ def test_stream_gives_one_token_across_batches(spark, tmp_path):
     got = {r.doc_id: r.masked_text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     first = got[0].removeprefix("电话")
     assert first in got[1] and "1381" not in got[1] and "1391" not in got[1] and len(got) == 2
+
+
+def test_workspace(spark, tmp_path):
+    from spanloom.sources.workspace import Workspace
+
+    w = Workspace(spark, str(tmp_path / "cases"))
+    texts = lambda *rows: spark.createDataFrame([("案", *r) for r in rows], "case_id string, stem string, doc_id long, text string")
+    assert w.exported().count() == 0
+    w.save("candidate", texts(("a", 1, "old ⟦人名001⟧"), ("b", 2, "b"), ("c", 3, "still 张三"), ("a", 0, "pdf of the same stem")), 1)
+    w.save("candidate", texts(("a", 1, "new ⟦人名001⟧")), 2)
+    assert {(r.stem, r.text) for r in w.current("candidate").collect()} == {("a", "new ⟦人名001⟧"), ("b", "b"), ("c", "still 张三")}
+    mapping = spark.createDataFrame([("案", "人名", 1, "⟦人名001⟧", "张三")], "case_id string, label string, num int, token string, value string")
+    lexicon = spark.createDataFrame([("案", 0, "张三")], "case_id string, ord long, entry string")
+    assert {(r.stem, r.approved, r.n_leaks) for r in w.approve(" 案 ", mapping, lexicon, 2).collect()} == {("a", True, 0), ("b", True, 0), ("c", False, 2)}
+    assert {(r.stem, r.exported) for r in w.exported().collect()} == {("a", True), ("b", True), ("c", False)}
+    w.save("candidate", texts(("a", 1, "张三 again")), 3)
+    assert {r.stem: r.approved for r in w.approve("案", mapping, lexicon, 3).collect()} == {"a": False, "b": True, "c": False}
+    assert {r.stem: r.text for r in w.current("approved").collect()} == {"a": "new ⟦人名001⟧", "b": "b"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "证 据+1.txt").write_bytes(b"x")
+    w.import_raw(str(tmp_path / "in"), "案", 1)
+    (tmp_path / "in" / "证 据+1.txt").write_bytes(b"y")
+    w.import_raw(str(tmp_path / "in"), "案", 2)
+    assert [(r.filename, bytes(r.content)) for r in w.current("raw").collect()] == [("证 据+1.txt", b"y")]
+    with pytest.raises(ValueError):
+        w.import_raw(str(tmp_path / "in"), "a/b", 1)
+    with pytest.raises(ValueError):
+        w.save("other", texts(("a", 1, "x")), 1)
+
+
+def test_poppler_stages(spark, tmp_path):
+    from spanloom.sources import poppler
+
+    tsv = "\t".join("level page par block line word left top width height conf text".split()) + "\n" + "\n".join("\t".join(map(str, r)) for r in [(1, 1, 0, 0, 0, 0, 0, 0, 200, 300, -1, ""), *((5, 1, 0, 0, 0, 0, x, 1, 5, 5, 90, "w") for x in (20, 100) * 3), (5, 1, 0, 0, 0, 0, "?", 1, 5, 5, 90, "w"), (5, 1)])
+    asked = []
+
+    def run(command, seconds):
+        asked.append((command[0], seconds))
+        n = command[command.index("-f") + 1] if "-f" in command else ""
+        if command[0] == "pdfinfo":
+            return b"Title: Pages: 9\nPages:          3\n"
+        if n == "2" and command[0] == "pdftoppm":
+            raise RuntimeError("render")
+        if command[0] == "pdftoppm":
+            with open(command[-1] + ".png", "wb") as f:
+                f.write(b"img")
+            return b""
+        if command[0] == "pdfimages":
+            return b"page num type width height\n----\n   1 0 image 300 200 rgb\n" if n == "3" else b"page num type width height\n"
+        return tsv.encode() if "-tsv" in command else "这一页有足够多的文字层内容可以直接采用不必识别".encode()
+
+    (tmp_path / "案").mkdir()
+    (tmp_path / "案" / "a.pdf").write_bytes(b"%PDF")
+    pages = {n: read for n, read in poppler.pdf_reader(run)(b"%PDF")}
+    assert list(pages) == [1, 2, 3]
+    rows = [files.page_row(n, read, ocr) for n, read in poppler.pdf_reader(run)(b"%PDF")]
+    assert [r["source"] for r in rows] == ["text_layer", "failed", "mixed"] and rows[0]["lefts"] == [0.1, 0.5] * 3
+    assert ("pdftoppm", 120) in asked and ("pdftotext", 60) in asked
+    with pytest.raises(ValueError):
+        poppler.page_count("no count here")
+
+
+def test_model_client():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from spanloom.sources.model import HttpModel
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            body = json.dumps({"response": '{"entities": [{"text": "张三", "type": "PERSON"}]}'}).encode()
+            self.send_response(200 if len(seen) > 1 else 500)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        client = HttpModel(f"http://127.0.0.1:{server.server_port}/api/generate", seconds=5)
+        assert chunk.detect_chunk("张三来了", client) == [(0, 2, "PERSON")]  # the first attempt meets an error
+    finally:
+        server.shutdown()
+    assert seen[1]["options"] == {"temperature": 0} and seen[1]["format"] == "json" and seen[1]["stream"] is False and "张三来了" in seen[1]["prompt"]
+
+
+def test_key_deletion(spark, tmp_path):
+    from spanloom.sources.workspace import Workspace
+
+    class Held(dict):
+        def create(self, case):
+            return self.setdefault(case, b"k" * 16)
+
+        def delete(self, case):
+            self.pop(case)
+
+    keys = Held()
+    mapping = spark.createDataFrame([("案", "人名", 1, "⟦人名001⟧", "张三")], "case_id string, label string, num int, token string, value string")
+    store.save_mapping(mapping, str(tmp_path / "m"), keys)
+    assert store.load_mapping(spark, str(tmp_path / "m"), ["案"], keys).count() == 1
+    Workspace(spark, str(tmp_path)).forget("案", keys)
+    with pytest.raises(KeyError):
+        store.load_mapping(spark, str(tmp_path / "m"), ["案"], keys).count()
