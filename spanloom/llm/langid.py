@@ -4,7 +4,6 @@ gives all languages that have it. Per-language counts, less the false positives
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +22,15 @@ SHARE, PART = 0.01, 0.4
 DRAWN = 4
 SIZES = (1, 2, 3, 4)
 REMEMBERED, LONGEST = 300_000, 48
-#: Runs of letters (categories L*). What counts as a word character besides, like ², ½ or Ⅷ, are numbers.
-LETTERS = re.compile(r"[^\W\d_%s]+" % "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
+RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters (categories L*). What counts as a word character besides, like ², ½ or Ⅷ, are numbers, and part runs."""
+    found = RUNS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for run in found for part in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def word_grams(word: str) -> list[str]:
@@ -84,7 +90,7 @@ class Judge:
         return sum(map(self.holders.__getitem__, word_grams(word)))
 
     def __call__(self, text: str) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower())
+        words = letter_runs(text.lower())
         if not words:
             return "und", 0.0
         known, extra = self.known, 0
@@ -138,7 +144,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         def work(texts: list[str]) -> list[list]:
             out = []
             for t in texts:
-                words = set(LETTERS.findall(t.lower()))
+                words = set(letter_runs(t.lower()))
                 for w in words.difference(known):
                     known[w] = word_grams(w)
                 out.append(list(set().union(*(known[w] for w in words))))

@@ -80,11 +80,11 @@ def test_langid_against_exact_sets(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     model = langid.train(spark.createDataFrame(rows))
     shares = {code: [r.text for r in rows if r.lang == code and r.text] for code in model.languages}
-    holders = [collections.Counter(g for t in shares[code] for g in set().union(*(langid.word_grams(w) for w in langid.LETTERS.findall(t.lower())))) for code in model.languages]
+    holders = [collections.Counter(g for t in shares[code] for g in set().union(*(langid.word_grams(w) for w in langid.letter_runs(t.lower())))) for code in model.languages]
     share = lambda i, g: holders[i][g] / max(1, len(shares[model.languages[i]]))
     judge, agree, total = langid.Judge(model), 0, 0
     for r in rows:
-        grams = [g for w in langid.LETTERS.findall((r.text or "").lower()) for g in langid.word_grams(w)]
+        grams = [g for w in langid.letter_runs((r.text or "").lower()) for g in langid.word_grams(w)]
         if not grams:
             assert judge(r.text or "") == ("und", 0.0)
             continue
