@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: Pieces that a worker remembers, the longest one that is remembered, and remembered pairs of tokens.
-REMEMBERED, LONGEST, PAIRS = 400_000, 48, 500_000
+#: Pieces that a worker remembers in each of two generations, the longest one that is remembered, and remembered pairs of tokens.
+REMEMBERED, LONGEST, PAIRS = 150_000, 48, 500_000
 #: Texts with characters from here on are cut into pieces by the library itself: what counts as a letter there depends on its Unicode version.
 NEWER = 0x558
 
@@ -47,14 +47,19 @@ class Pieces(dict):
     """The ids of pieces, worked out when first asked for; long pieces aren't kept."""
 
     def __init__(self, encode) -> None:
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode(piece)
+        ids = self.older.get(piece) or self.encode(piece)
         if len(piece) <= LONGEST:
             self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        """Forgets the pieces that weren't asked for since the last time."""
+        self.older = dict(self)
+        self.clear()
+
 
 class ByteBpe:
     """Encoder and decoder for a byte-level BPE file of the tokenizers library."""
@@ -85,7 +90,8 @@ class ByteBpe:
         self.ends.make_automaton()
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
-        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        bare = {"added_tokens": [], "normalizer": None, "post_processor": None, "decoder": None, "model": {**spec["model"], "vocab": {}, "merges": []}}
+        self.cut = Tokenizer.from_str(json.dumps(spec | bare)).pre_tokenizer.pre_tokenize_str  # without a second copy of the vocabulary
         self.pieces, self.new = piece_pattern().findall, re.compile(f"[^\0-{chr(NEWER - 1)}]").search
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.table = {b: self.letters[b] for b in range(256)}
@@ -142,7 +148,7 @@ class ByteBpe:
         for i, part in enumerate(self.specials(text) if self.specials else [text]):
             out += [(self.special[part],)] if i % 2 else map(known.__getitem__, self.split(part))
         if len(known) > REMEMBERED:
-            known.clear()
+            known.age()
         return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> str:
