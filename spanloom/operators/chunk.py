@@ -20,8 +20,12 @@ FOUND = "array<struct<start:int,end:int,entity_type:string,value:string>>"
 def chunk_array(text: Column, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Column:
     """array<struct<offset,chunk>>: pieces of at most max_chars, the next one starting `overlap` before the last one's end. A piece ends at the last
     paragraph break in its final part, if there is one. A text that fits is one piece, the empty one too."""
+    return let(F.length(text), lambda n: _chunk_array(text, n, max_chars, overlap))
+
+
+def _chunk_array(text: Column, n: Column, max_chars: int, overlap: int) -> Column:
+    """n: the text's length, counted once and not again at each step."""
     margin = max(max_chars // 4, overlap + 1)
-    n = F.length(text)
     least = max(1, max_chars - margin - overlap)  # characters that each step gets on by, at least
     state = "struct<start:int,open:boolean,out:array<struct<offset:int,stop:int>>>"
     zero = F.struct(F.lit(0).alias("start"), F.lit(True).alias("open"), F.array().cast("array<struct<offset:int,stop:int>>").alias("out")).cast(state)

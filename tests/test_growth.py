@@ -24,3 +24,12 @@ def test_many_literals_are_one_pass(spark, monkeypatch):
     found = gate.mapping_leaks(docs(spark, ["值001号与值019号", None, "值020号", "值007号值007号"]), spark.createDataFrame(values, MAPPING))
     assert {(r.doc_id, r.value) for r in found.collect()} == {(0, "值001号"), (0, "值019号"), (3, "值007号")}
     assert plan_of(found).split("== Physical Plan ==")[1].count("MapInArrow") == 1
+
+
+def test_texts_without_signs_are_not_matched(spark):
+    """A text that cannot hold a match is left out by a filter before any pattern is tried."""
+    d = docs(spark, ["无", "a@b.cn", "12345678901", "号", "日出生", None])
+    held = plan_of(detect.structured_spans(d)).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    tried = [x for x in held.split("\n") if "Filter" in x]
+    assert tried and all(s in tried[-1] for s in ("@", "日出生", "号", detect.DIGITS))
+    assert "Filter" in plan_of(detect.pattern_spans(d, "EMAIL")).split("== Optimized Logical Plan ==")[1]
