@@ -10,6 +10,8 @@ from ..functions.text import label, token, token_label, token_number
 
 #: Documents whose new values are numbered together in one task.
 BLOCK = 10_000
+#: Hashes of documents with spans, at most, that are sent to all executors; beyond it all texts are joined by a shuffle.
+SENT = 1_000_000
 
 
 def valued(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -46,7 +48,8 @@ def masked(docs: DataFrame, values: DataFrame, mapping: DataFrame) -> DataFrame:
     one = mapping.groupBy("case_id", "value").agg(F.max_by("token", F.struct("num", "token")).alias("token"))  # a prior mapping may hold a value twice
     parts = values.join(one, ["case_id", "value"]).groupBy("case_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("_parts"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    joined = docs.select("case_id", "doc_id", "text").join(parts, ["case_id", "doc_id"], "left")
+    whole, some = _with_spans(docs.select("case_id", "doc_id", "text"), values)
+    joined = some.join(parts, ["case_id", "doc_id"], "left")
     text = F.col("text")
     fold = F.aggregate(
         F.coalesce("_parts", F.array().cast("array<struct<start:int,end:int,token:string>>")),
@@ -54,7 +57,19 @@ def masked(docs: DataFrame, values: DataFrame, mapping: DataFrame) -> DataFrame:
         lambda acc, p: F.struct(p["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, p["start"] - acc["at"]), p["token"])).alias("out")),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return joined.select("case_id", "doc_id", fold.alias("masked_text"), F.coalesce(F.size("_parts"), F.lit(0)).alias("n_spans"))
+    out = joined.select("case_id", "doc_id", fold.alias("masked_text"), F.coalesce(F.size("_parts"), F.lit(0)).alias("n_spans"))
+    return out if whole is None else out.unionByName(whole.select("case_id", "doc_id", F.col("text").alias("masked_text"), F.lit(0).alias("n_spans")))
+
+
+def _with_spans(docs: DataFrame, values: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """docs without spans, and the others. Told apart by hashes of the keys that have spans, so that texts without any are not shuffled; one whose hash is
+    that of another is merely among the others. None and all of them if there are too many hashes to send."""
+    hashed = F.xxhash64("case_id", "doc_id").alias("_hash")
+    sent = values.select(hashed).distinct()
+    if sent.count() > SENT:
+        return None, docs
+    each, sent = docs.select("*", hashed), F.broadcast(sent)
+    return each.join(sent, "_hash", "left_anti").drop("_hash"), each.join(sent, "_hash", "left_semi").drop("_hash")
 
 
 def restored(texts: DataFrame, mapping: DataFrame, text: str = "masked_text") -> DataFrame:

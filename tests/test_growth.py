@@ -33,3 +33,17 @@ def test_texts_without_signs_are_not_matched(spark):
     tried = [x for x in held.split("\n") if "Filter" in x]
     assert tried and all(s in tried[-1] for s in ("@", "日出生", "号", detect.DIGITS))
     assert "Filter" in plan_of(detect.pattern_spans(d, "EMAIL")).split("== Optimized Logical Plan ==")[1]
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_texts_without_spans_are_not_shuffled(spark, monkeypatch, sent):
+    monkeypatch.setattr(tokens, "SENT", sent)
+    d = docs(spark, ["张三来", "无", "", None, "李四"]).unionByName(spark.createDataFrame([(None, 0, "张三来"), ("d", 0, "张三来")], "case_id string, doc_id long, text string"))
+    values = spark.createDataFrame([("c", 0, 0, 2, "PERSON", "张三"), ("c", 4, 0, 2, "PERSON", "李四")], "case_id string, doc_id long, start int, end int, entity_type string, value string")
+    got = tokens.masked(d, values, tokens.extended_mapping(values))
+    want = {("c", 0, "⟦人名001⟧来", 1), ("c", 1, "无", 0), ("c", 2, "", 0), ("c", 3, None, 0), ("c", 4, "⟦人名002⟧", 1), (None, 0, "张三来", 0), ("d", 0, "张三来", 0)}
+    assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
+    whole, some = tokens._with_spans(d, values)
+    assert (whole is None) == (not sent)
+    if sent:
+        assert whole.count() == 5 and some.count() == 2 and "hashpartitioning(case_id" not in plan_of(whole)
