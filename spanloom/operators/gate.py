@@ -4,23 +4,43 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .detect import lexicon_spans, structured_spans
 from .literals import with_literals
 
 
+def _reason(ok: Column, name: Column, low_n: Column) -> Column:
+    """Why a stage holds a document back, or null."""
+    return F.when(~ok, F.concat(name, F.lit(" 检测未能正常完成,需人工确认"))).when(low_n > 0, F.concat(name, F.lit(" 发现 "), low_n.cast("string"), F.lit(" 处需人工核实的疑似内容")))
+
+
 def decisions(stages: DataFrame) -> DataFrame:
     """(case_id, doc_id, auto_export, reasons): a stage that failed, or found something it isn't sure of, holds the document back; a failure is named before a
     count. Reasons come in the stages' order."""
-    reason = F.when(~F.col("ok"), F.concat("name", F.lit(" 检测未能正常完成,需人工确认"))).when(F.col("low_n") > 0, F.concat("name", F.lit(" 发现 "), F.col("low_n").cast("string"), F.lit(" 处需人工核实的疑似内容")))
-    told = F.collect_list(F.when(reason.isNotNull(), F.struct("ord", reason.alias("reason"))))
-    return stages.groupBy("case_id", "doc_id").agg(F.transform(F.sort_array(told), lambda r: r["reason"]).alias("reasons")).select("case_id", "doc_id", (F.size("reasons") == 0).alias("auto_export"), "reasons")
+    reason = _reason(F.col("ok"), F.col("name"), F.col("low_n"))
+    return _decided(stages.groupBy("case_id", "doc_id").agg(F.collect_list(F.when(reason.isNotNull(), F.struct("ord", reason.alias("reason")))).alias("_told")))
+
+
+def row_decisions(rows: DataFrame) -> DataFrame:
+    """decisions() of stage_rows(): a row a document goes through, not seven."""
+    held = F.filter(F.transform("stages", lambda s: F.struct(s["ord"].alias("ord"), _reason(s["ok"], s["name"], s["low_n"]).alias("reason"))), lambda r: r["reason"].isNotNull())
+    return _decided(rows.select("case_id", "doc_id", held.alias("_each")).groupBy("case_id", "doc_id").agg(F.flatten(F.collect_list("_each")).alias("_told")))
+
+
+def _decided(told: DataFrame) -> DataFrame:
+    return told.select("case_id", "doc_id", F.transform(F.sort_array("_told"), lambda r: r["reason"]).alias("reasons")).select("case_id", "doc_id", (F.size("reasons") == 0).alias("auto_export"), "reasons")
 
 
 def stage_table(docs: DataFrame, spans: DataFrame, entity_results: DataFrame, duplicates: DataFrame, pages: DataFrame | None = None, native_tables: DataFrame | None = None) -> DataFrame:
-    """stages of each document, told apart by case and id: ocr, ledger, tables, same names, regex, lexicon, llm. Counts are of what detectors report, before
+    """stages: stage_rows() with a row for each document and stage."""
+    rows = stage_rows(docs, spans, entity_results, duplicates, pages, native_tables)
+    return rows.select("case_id", "doc_id", F.explode("stages").alias("s")).select("case_id", "doc_id", "s.*")
+
+
+def stage_rows(docs: DataFrame, spans: DataFrame, entity_results: DataFrame, duplicates: DataFrame, pages: DataFrame | None = None, native_tables: DataFrame | None = None) -> DataFrame:
+    """(case_id, doc_id, stages: array<struct<ord,name,ok,low_n>>), documents told apart by case and id: ocr, ledger, tables, same names, regex, lexicon, llm. Counts are of what detectors report, before
     spans are merged.
 
     pages: (case_id, doc_id, source, n_low, possible_table); native_tables: (case_id, doc_id) of files with a table of their own, counted on top of the pages'
@@ -42,7 +62,7 @@ def stage_table(docs: DataFrame, spans: DataFrame, entity_results: DataFrame, du
     all_of = seen.join(names, "case_id", "left").join(low, key, "left").join(entity_results.select(*key, F.col("ok").alias("llm_ok"), F.col("n_spans").alias("llm")), key, "left")
     rows = [("ocr", F.lit(True), "ocr"), ("处理台账", F.col("failed") == 0, None), ("表格/表单", F.lit(True), "tables"), ("同名待确认", F.lit(True), "names"), ("regex", F.lit(True), "low"), ("lexicon", F.lit(True), None), ("llm", F.coalesce("llm_ok", F.lit(False)), "llm")]
     made = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), ok.alias("ok"), (F.coalesce(c, F.lit(0)) if c else F.lit(0)).cast("long").alias("low_n")) for i, (n, ok, c) in enumerate(rows)))
-    return all_of.select(*key, F.explode(made).alias("s")).select(*key, "s.*")
+    return all_of.select(*key, made.alias("stages"))
 
 
 def mapping_leaks(texts: DataFrame, mapping: DataFrame) -> DataFrame:

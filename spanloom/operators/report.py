@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Texts of the report.
@@ -56,10 +55,8 @@ def reports(docs: DataFrame, duplicates: DataFrame) -> DataFrame:
 def sections(reports_: DataFrame) -> DataFrame:
     """(case_id, heading, section): the parts of reports (case_id, report) under second-level headings, trailing line breaks cut off; of equal headings
     the last one counts. The section of equal names among them is one of them: callers leave it out."""
-    rows = reports_.select("case_id", F.posexplode(F.split("report", "\n")).alias("n", "line"))
-    marked = rows.withColumn("_part", F.sum(F.when(F.startswith("line", F.lit("## ")), 1).otherwise(0)).over(W.partitionBy("case_id").orderBy("n"))).filter("_part > 0")
-    grouped = marked.groupBy("case_id", "_part").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("_lines"))
-    named = grouped.select("case_id", "_part", F.substring(F.col("_lines")[0], 4, 1 << 30).alias("heading"), F.regexp_replace(F.array_join("_lines", "\n"), "\n+$", "").alias("section"))
+    parts = reports_.select("case_id", F.posexplode(F.split("report", r"(?<=\n)(?=## )")).alias("_part", "section")).filter(F.startswith("section", F.lit("## ")))  # cut before each heading: no line is a row of its own
+    named = parts.select("case_id", "_part", F.substring(F.substring_index("section", "\n", 1), 4, 1 << 30).alias("heading"), F.regexp_replace("section", "\n+$", "").alias("section"))
     return named.groupBy("case_id", "heading").agg(F.max_by("section", "_part").alias("section"))
 
 

@@ -63,13 +63,17 @@ class CasePlan:
     def duplicates(self) -> DataFrame:
         return detect.duplicate_entries(self.lexicon)
 
+    @property
+    def _stage_inputs(self) -> tuple[DataFrame | None, ...]:
+        return self.docs, self.spans, chunk.entity_results(self.told), self.duplicates, self.pages, self.native_tables
+
     @cached_property
     def stages(self) -> DataFrame:
-        return gate.stage_table(self.docs, self.spans, chunk.entity_results(self.told), self.duplicates, self.pages, self.native_tables)
+        return gate.stage_table(*self._stage_inputs)
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return gate.decisions(self.stages)
+        return gate.row_decisions(gate.stage_rows(*self._stage_inputs))
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -110,7 +114,14 @@ class CasePlan:
     @cached_property
     def report_rows(self) -> DataFrame:
         told = self.leaks.groupBy("case_id", "doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("check_no", "ord", "message"))), lambda x: x["message"]).alias("_leaks"))
-        base = self.decisions.join(self.growth, ["case_id", "doc_id"]).join(told, ["case_id", "doc_id"], "left")
+        return self._report_rows(self.decisions.join(self.growth, ["case_id", "doc_id"]).join(told, ["case_id", "doc_id"], "left"))
+
+    @cached_property
+    def unchecked_report_rows(self) -> DataFrame:
+        """report_rows before the second check: no leaks are told, and none are looked for."""
+        return self._report_rows(self.decisions.join(self.growth, ["case_id", "doc_id"]).withColumn("_leaks", F.lit(None).cast("array<string>")))
+
+    def _report_rows(self, base: DataFrame) -> DataFrame:
         none = "array<struct<page_number:int,reason:string>>", "array<struct<page_number:int,image:string,lines:array<struct<text:string,confidence:double>>>>"
         return base.select(
             "case_id", F.col("doc_id").alias("ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "auto_export", "reasons", "mapping_size",

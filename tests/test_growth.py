@@ -47,3 +47,30 @@ def test_texts_without_spans_are_not_shuffled(spark, monkeypatch, sent):
     assert (whole is None) == (not sent)
     if sent:
         assert whole.count() == 5 and some.count() == 2 and "hashpartitioning(case_id" not in plan_of(whole)
+
+
+def test_decisions_of_rows(spark):
+    """The gate over a row a document says what it says over seven."""
+    d, pages, spans, answers, names, tables = (
+        spark.createDataFrame(queries.GATE_DOCS, "case_id string, doc_id long"), spark.createDataFrame(queries.GATE_PAGES, "case_id string, doc_id long, source string, n_low int, possible_table boolean"),
+        spark.createDataFrame([(*r, "regex") for r in queries.GATE_LOW], "case_id string, doc_id long, confidence string, source string"), spark.createDataFrame(queries.GATE_ANSWERS, "case_id string, doc_id long, ok boolean, n_spans long"),
+        spark.createDataFrame(queries.GATE_NAMES, "case_id string, entry string, ord long"), spark.createDataFrame(queries.GATE_TABLES, "case_id string, doc_id long"),
+    )
+    inputs = (d.unionByName(d.limit(1)), spans, answers, names, pages, tables)  # one document is there twice
+    by_row, by_stage = gate.row_decisions(gate.stage_rows(*inputs)), gate.decisions(gate.stage_table(*inputs))
+    assert sorted(map(str, by_row.collect())) == sorted(map(str, by_stage.collect()))
+
+
+def test_reports_before_the_check_look_for_no_leaks(spark, sf_dir, monkeypatch):
+    def leaks(_):
+        raise AssertionError("looked for leaks")
+
+    monkeypatch.setattr(CasePlan, "leaks", property(leaks))
+    assert queries.QUERIES["report_text"](spark, sf_dir).count() > 0
+
+
+def test_sections_of_a_report_are_not_one_window(spark):
+    text = "# t\n\n前\n## a\n一\n### 三\n\n\n## b\n## a\n二\n ## c\n"
+    cut = report.sections(spark.createDataFrame([("c", text), ("d", "## x"), ("e", "无"), ("f", None)], "case_id string, report string"))
+    assert {tuple(r) for r in cut.collect()} == {("c", "b", "## b"), ("c", "a", "## a\n二\n ## c"), ("d", "x", "## x")}
+    assert "Window" not in plan_of(cut)
